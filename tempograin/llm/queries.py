@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from . import op3_bpe, op5_secrets, op6_quality_rules, op7_line_dedup, op9_url_filters
+from . import op1_decontaminate, op3_bpe, op5_secrets, op6_quality_rules, op7_line_dedup, op8_ngram_jaccard, op9_url_filters
 from .common import read
 
 
@@ -20,13 +20,15 @@ def vocabulary() -> str:
 def queries() -> dict:
     docs = lambda s, d: read(s, d, "documents")
     return {
+        "op1_decontaminate": lambda s, d: op1_decontaminate.leaked_pairs(docs(s, d), read(s, d, "benchmark")),
         "op3_bpe": lambda s, d: op3_bpe.digest(docs(s, d), vocabulary()),
         "op5_secrets": lambda s, d: op5_secrets.digest(docs(s, d)),
         "op6_quality_rules": lambda s, d: op6_quality_rules.digest(docs(s, d)),
         "op7_line_dedup": lambda s, d: op7_line_dedup.digest(docs(s, d)),
+        "op8_ngram_jaccard": lambda s, d: op8_ngram_jaccard.digest(docs(s, d)),
         "op9_url_filters": lambda s, d: op9_url_filters.verdicts(read(s, d, "pages")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": op6_quality_rules.SQL, "op7_line_dedup": op7_line_dedup.SQL, "op9_url_filters": op9_url_filters.SQL}
+    return {"op6_quality_rules": op6_quality_rules.SQL, "op7_line_dedup": op7_line_dedup.SQL, "op8_ngram_jaccard": op8_ngram_jaccard.SQL, "op9_url_filters": op9_url_filters.SQL}
