@@ -3,9 +3,10 @@
 Equal sets are collapsed first, so that copies cost one row. Distinct sets meet in tiles: a tile is a size band and the
 content of one hash range of the set. Sets of a band's sizes that are similar enough differ in at most `allowed`
 n-grams, so of allowed + SPARE ranges, SPARE at least are equal in both, and such a pair shares a tile. In a tile, members
-are first held against its least member; those links make components; afterwards only pairs of different components in
-a tile are held against each other, so large groups of near copies never make all their pairs. Each pair is bounded
-by the bit counts of hashed bitmaps before the exact intersection of the sorted n-gram arrays.
+are first held against its most central member (the one that shares most tiles); those links make components. Then
+only members of different components of a tile are compared, in blocks of BLOCK members, by hashed bitmaps whose bit counts
+bound the overlap from above; pairs within the bound are decided by exact intersection of the sorted n-gram arrays.
+So a large group of near copies never makes all its pairs.
 
 Null or empty texts, or those without words: an empty set, on no link. Texts of fewer words than n: the whole sequence is the
 one n-gram. Repeated rows are in one component. Null doc_id: takes part; component_id is the least doc_id that isn't null.
@@ -28,7 +29,9 @@ from .hashing import mix, shingle_set, word_hashes
 WORDS, PERCENT = 3, 90
 #: Of so many equal hash ranges, a pair shares a tile even if all but one are empty in both; see signatures().
 SPARE = 3
-BITMAP_WORDS = 16
+BITMAP_WORDS = 32
+#: Members of a tile that one task compares at a time; a larger tile is cut into such blocks, and each pair of blocks is a group of its own.
+BLOCK = 1024
 
 
 def bands(percent: int, largest: int) -> list[tuple[int, int]]:
@@ -112,34 +115,57 @@ def _verified(pairs: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(_similar("x", "y", percent)).select("a", "b")
 
 
+def _near_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different parts of a tile whose bitmaps allow the similarity. members: tile, size, node, part, n, bits."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = members.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("tile", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "part", "n", "bits")
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, part, n, block = (table.column(c).to_numpy() for c in ("node", "part", "n", "block"))
+        bits = table.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        a, b = [], []
+        for x in np.flatnonzero(block == i):
+            # pairs of one block once, by node; pairs of two blocks from the first
+            y = np.flatnonzero((part != part[x]) & (node > node[x] if i == j else block == j))
+            apart = np.bitwise_count(bits[y] ^ bits[x]).sum(1, dtype=np.int64)
+            common = np.minimum((n[y] + n[x] - apart) // 2, np.minimum(n[y], n[x]))
+            y = y[100 * common >= percent * (n[y] + n[x] - common)]
+            a.append(np.minimum(node[y], node[x]))
+            b.append(np.maximum(node[y], node[x]))
+        join = lambda parts: pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64())
+        return pa.table({"a": join(a), "b": join(b)})
+
+    return dealt.groupBy("tile", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """A row for each document: doc_id, fingerprint (xxhash64 of the text), n_shingles, component_id, row (ids that rise within a partition), first (its row is the component's least by doc_id)."""
     p = own_name(docs, "p")
     text_of = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    seen = text_of.withColumn(p, _profile(words, percent)("text")).select("doc_id", F.xxhash64("text").alias("fingerprint"), F.monotonically_increasing_id().alias("row"), f"{p}.*")
+    seen = text_of.withColumn(p, _profile(words, percent)("text")).select("doc_id", F.xxhash64("text").alias("fingerprint"), F.unhex(F.md5("text")).alias("content_key"), F.monotonically_increasing_id().alias("row"), f"{p}.*")
     seen = checkpoint(seen)
     # one node for each distinct set; its least row stands for it
-    nodes = seen.filter("set is not null").groupBy("set").agg(F.min(F.struct("row", "doc_id", "fingerprint", "tiles")).alias("of"))
-    members = nodes.filter(F.size("of.tiles") > 0).select(F.col("of.row").alias("node"), F.col("of.doc_id").alias("doc_id"), F.col("of.fingerprint").alias("fingerprint"), F.explode("of.tiles").alias("tile"))
-    tiles = members.groupBy("tile").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub <> last").select("tile", "hub")
+    nodes = seen.filter("set is not null").groupBy("set").agg(F.min(F.struct("row", "content_key", "tiles")).alias("of"))
+    members = nodes.select(F.col("of.row").alias("node"), F.explode("of.tiles").alias("tile"))
+    tiles = members.groupBy("tile").agg(F.count("*").alias("size")).filter("size > 1")
     shared = checkpoint(members.join(tiles, "tile"))
-    involved = shared.select("node", "doc_id", "fingerprint").distinct()
-    keyed = text_of.withColumn("fingerprint", F.xxhash64("text"))
-    same = keyed["doc_id"].eqNullSafe(involved["doc_id"]) & (keyed["fingerprint"] == involved["fingerprint"])
-    contents = checkpoint(keyed.join(involved, same).dropDuplicates(["node"]).select("node", _content(words)("text").alias("content")))
-    stars = _verified(shared.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), contents, percent)
-    stars = checkpoint(stars)
-    joined = components(stars)
+    involved = shared.select("node").distinct().join(seen.select(F.col("row").alias("node"), "content_key"), "node")
+    # each distinct text moves once, however many copies it has
+    texts = docs.select(F.unhex(F.md5(F.col(f"`{text}`"))).alias("content_key"), F.col(f"`{text}`").alias("text")).filter("text is not null")
+    texts = texts.groupBy("content_key").agg(F.first("text").alias("text"))
+    contents = checkpoint(texts.join(involved, "content_key").select("node", _content(words)("text").alias("content")))
+    weight = shared.groupBy("node").agg(F.sum("size").alias("weight"))
+    hubs = shared.join(weight, "node").groupBy("tile").agg(F.max(F.struct("weight", -F.col("node"))).alias("hub")).select("tile", (-F.col("hub")["col2"]).alias("hub"))
+    spokes = shared.join(hubs, "tile").filter("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+    stars = checkpoint(_verified(spokes, contents, percent))
     # what the stars leave apart in a tile
-    parts = shared.join(joined, "node", "left").select("tile", "node", F.coalesce("component", "node").alias("part"))
+    parts = shared.join(components(stars), "node", "left").select("tile", "node", "size", F.coalesce("component", "node").alias("part"))
     open_tiles = parts.groupBy("tile").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y").select("tile")
-    parts = checkpoint(parts.join(open_tiles, "tile"))
-    distinct = parts.select("tile", "part").distinct()
-    across = distinct.select("tile", F.col("part").alias("part_a")).join(distinct.select("tile", F.col("part").alias("part_b")), "tile").filter("part_a < part_b")
-    pairs = across.join(parts.select("tile", F.col("part").alias("part_a"), F.col("node").alias("a")), ["tile", "part_a"])
-    pairs = pairs.join(parts.select("tile", F.col("part").alias("part_b"), F.col("node").alias("b")), ["tile", "part_b"])
-    rest = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    links = stars.union(_verified(rest, contents, percent))
+    rest = _near_pairs(parts.join(open_tiles, "tile").join(contents.select("node", "content.bits", F.size("content.grams").alias("n")), "node"), percent)
+    links = stars.union(_verified(checkpoint(rest.distinct()), contents, percent))
     found = components(links)
     sets = nodes.select("set", F.col("of.row").alias("node")).join(found, "node", "left").select("set", F.coalesce("component", "node").alias("component"))
     # least doc_id of a set, then of a component, each counted before it meets
@@ -147,7 +173,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     sets = checkpoint(sets.join(least, "set"))
     first = sets.groupBy("component").agg(F.min("least").alias("first"))
     sets = sets.join(first, "component").select("set", "first")
-    out = seen.drop("tiles").join(sets, "set", "left")
+    out = seen.drop("tiles", "content_key").join(sets, "set", "left")
     return out.select("doc_id", "fingerprint", F.col("n").alias("n_shingles"), F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), "row", (F.col("set").isNull() | (F.col("row") == F.col("first.row"))).alias("first"))
 
 
