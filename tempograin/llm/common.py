@@ -16,15 +16,22 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder of spark.checkpoint.dir; later plans start from those files."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share; one of our own only on a single machine where it is unset."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
+    known = context._jsc.sc().getCheckpointDir()
+    if known.isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None and not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
+        known = context._jsc.sc().getCheckpointDir()
+    return known.get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder; later plans start from those files."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
