@@ -91,10 +91,10 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", keep: list[
     measured = measured.withColumn(f"{out}_failed", base_failed(F.col(f"{out}_m")))
     if materialise:
         measured = checkpoint(measured)
-    hosts = host_verdicts(measured, f"{out}_host", f"{out}_failed")
-    joined = measured.join(hosts, F.col(f"{out}_host").eqNullSafe(F.col("host")), "left")
-    kept = ~F.col(f"{out}_failed") & ~F.coalesce(F.col("host_rejected"), F.lit(False))
-    verdict = F.struct(*(F.col(f"{out}_m")[m].alias(m) for m in METRICS), F.col(f"{out}_failed").alias("base_failed"), F.col("shrunk_rate").alias("host_rate"), kept.alias("kept"))
+    hosts = host_verdicts(measured, f"{out}_host", f"{out}_failed").select(F.col("host").alias(f"{out}_of"), F.col("shrunk_rate").alias(f"{out}_rate"), F.col("host_rejected").alias(f"{out}_rejected"))
+    joined = measured.join(hosts, F.col(f"{out}_host").eqNullSafe(F.col(f"{out}_of")), "left")
+    kept = ~F.col(f"{out}_failed") & ~F.coalesce(F.col(f"{out}_rejected"), F.lit(False))
+    verdict = F.struct(*(F.col(f"{out}_m")[m].alias(m) for m in METRICS), F.col(f"{out}_failed").alias("base_failed"), F.col(f"{out}_rate").alias("host_rate"), kept.alias("kept"))
     return joined.select(*(measured[f"`{c}`"] for c in columns), verdict.alias(out)), out
 
 

@@ -55,6 +55,8 @@ def tiles_of(n: int, percent: int, all_bands: list[tuple[int, int]]) -> list[tup
 def signatures(grams: np.ndarray, percent: int) -> np.ndarray:
     """A hash for each tile of one set. Empty ranges are left out unless there are SPARE of them, as fewer can't be all that a pair has in common."""
     out, n = [], len(grams)
+    if not n:
+        return grams
     mixed = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(grams))))
     for band, allowed in tiles_of(n, percent, bands(percent, n * 2)):
         k = allowed + SPARE
@@ -179,11 +181,11 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each class: the least doc_id. Where rows repeat whole, one of them stays."""
-    f, d, copy = own_name(docs, "fingerprint"), own_name(docs, "kept_id"), own_name(docs, "copies")
-    kept = classes(docs, doc_id, text).filter("first").groupBy(F.col("doc_id").alias(d), F.col("fingerprint").alias(f)).agg(F.count("*").alias(copy), F.max(F.col("n_shingles") == 0).alias("all_stay"))
+    f, d, stay = own_name(docs, "fingerprint"), own_name(docs, "kept_id"), own_name(docs, "all_stay")
+    kept = classes(docs, doc_id, text).filter("first").groupBy(F.col("doc_id").alias(d), F.col("fingerprint").alias(f)).agg(F.max(F.col("n_shingles") == 0).alias(stay))
     # a class is represented by one row, but rows with its doc_id and text may be more than one
     joined = docs.join(kept, docs[f"`{doc_id}`"].eqNullSafe(kept[d]) & (F.xxhash64(docs[f"`{text}`"]) == kept[f]))
-    once = joined.filter("not all_stay").dropDuplicates([d, f]).union(joined.filter("all_stay"))
+    once = joined.filter(~F.col(stay)).dropDuplicates([d, f]).union(joined.filter(stay))
     return once.select(*(docs[f"`{c}`"] for c in docs.columns))
 
 
