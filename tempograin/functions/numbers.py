@@ -24,7 +24,7 @@ def _missing(*values: Column) -> Column:
 
 
 def divide(left: Column, right: Column) -> Column:
-    negative = (left < 0) != (F.atan2(right, F.lit(-1.0)) < 0)  # atan2 tells -0.0 from 0.0
+    negative = (left < 0) != F.startswith(right.cast("string"), F.lit("-"))  # -0.0 equals 0.0 but for its text
     by_zero = F.when((left == 0) | F.isnan(left), float("nan")).when(negative, float("-inf")).otherwise(float("inf"))
     return F.when(_missing(left, right), null()).when(right == 0, by_zero).otherwise(F.try_divide(left, right))
 
