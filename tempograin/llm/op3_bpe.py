@@ -12,6 +12,7 @@ import hashlib
 import heapq
 import json
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -116,21 +117,29 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", out: str = "bpe", ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", out: str = "bpe", ids: bool = True, decoded: bool = True) -> DataFrame:
     """docs with a column out: struct of n_tokens, ids_sha256, decoded_sha256, and ids and decoded text if asked for."""
-    kind = f"struct<{DIGEST.replace(' ', ':')}>".replace(",:", ",")
-    kind = kind[:-1] + ",ids:array<int>,decoded:string>" if ids else kind
+    kind = DIGEST.replace(", ", ",").replace(" ", ":") + ",ids:array<int>" * ids + ",decoded:string" * decoded
 
-    @F.arrow_udf(kind)
+    @F.arrow_udf(f"struct<{kind}>")
     def encode(texts: pa.Array) -> pa.Array:
-        known, rows = codec(vocabulary), []
+        known, counts, digests, packs, strings = codec(vocabulary), [], ([], []), [], []
         for x in texts:
             packed = known.encode(x.as_py() or "")
-            decoded = known.decode(packed)
-            row = {"n_tokens": len(packed) // 4, "ids_sha256": hashlib.sha256(packed).hexdigest(), "decoded_sha256": hashlib.sha256(decoded.encode()).hexdigest()}
-            rows.append(row | ({"ids": list(memoryview(packed).cast("I")) if packed else [], "decoded": decoded} if ids else {}))
-        fields = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
-        return pa.array(rows, pa.struct(fields + ([("ids", pa.list_(pa.int32())), ("decoded", pa.string())] if ids else [])))
+            string = known.decode(packed)
+            counts.append(len(packed) // 4)
+            digests[0].append(hashlib.sha256(packed).hexdigest())
+            digests[1].append(hashlib.sha256(string.encode()).hexdigest())
+            # ids stay packed: as Python integers, those of a batch would take ten times the memory
+            packs += [packed] * ids
+            strings += [string] * decoded
+        columns = {"n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(digests[0], pa.string()), "decoded_sha256": pa.array(digests[1], pa.string())}
+        if ids:
+            ends = pa.array(np.cumsum([0, *counts]), pa.int32())
+            columns["ids"] = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(packs), "<i4")))
+        if decoded:
+            columns["decoded"] = pa.array(strings, pa.string())
+        return pa.StructArray.from_arrays(list(columns.values()), list(columns))
 
     return docs.withColumn(out, encode(F.col(f"`{text}`")))
 
@@ -138,5 +147,5 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", out:
 def digest(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document."""
     out = own_name(docs, "bpe")
-    coded = encode_documents(docs.select("doc_id", "text"), vocabulary, out=out, ids=False)
+    coded = encode_documents(docs.select("doc_id", "text"), vocabulary, out=out, ids=False, decoded=False)
     return coded.select("doc_id", f"{out}.*")
