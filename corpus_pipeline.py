@@ -38,7 +38,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids and the digests of each document."""
-    coded = op3_bpe.encode_documents(docs, vocabulary(), out="bpe")
+    coded = op3_bpe.encode_documents(docs, vocabulary(), out="bpe", decoded=False)
     return coded.select("doc_id", "lang", "source", "bpe.n_tokens", "bpe.ids", "bpe.ids_sha256", "bpe.decoded_sha256")
 
 
