@@ -17,6 +17,8 @@ from .common import SPACES, bind, checkpoint, own_name
 
 WINDOW = 5
 HOST_RATE = 0.6
+#: So many rejected hosts are broadcast at most; rows of a host are dealt to so many tasks beyond that.
+BROADCAST_HOSTS, SALTS = 200_000, 64
 SYMBOLS = "#*$%&|<>"
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -45,19 +47,23 @@ def covered_words(hashes: Column) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), 0).otherwise(bind(pairs, in_sorted))
 
 
+def word_counts(text: Column) -> Column:
+    """Struct of n_words and n_repeat_words of one text, which the base rules need."""
+    return bind(words_of(F.coalesce(text, F.lit(""))), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), bind(window_hashes(w), covered_words).cast("long").alias("n_repeat_words")))
+
+
 def measures(text: Column) -> Column:
     """Struct of METRICS of one text."""
     text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    repeats = bind(words_of(text), lambda w: F.struct(F.size(w).alias("n"), bind(window_hashes(w), covered_words).alias("covered")))
     return bind(
-        repeats,
+        word_counts(text),
         lambda r: F.struct(
-            r["n"].cast("long").alias("n_words"),
+            r["n_words"],
             F.length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
             (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
             bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-            r["covered"].cast("long").alias("n_repeat_words"),
+            r["n_repeat_words"],
         ),
     )
 
@@ -103,10 +109,18 @@ def digest(docs: DataFrame) -> DataFrame:
     return judged.select("doc_id", *(f"{out}.{m}" for m in METRICS), f"{out}.base_failed", f"{out}.kept")
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that pass."""
-    judged, out = judge(docs)
-    return judged.filter(F.col(f"{out}.kept")).drop(out)
+def keep_good(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
+    """The documents that pass. Texts aren't shuffled but if more hosts than BROADCAST_HOSTS are rejected; then hosts are salted."""
+    p = own_name(docs, "quality")
+    failed = bind(word_counts(F.col(f"`{text}`")), base_failed)
+    tested = docs.select(F.col(f"`{host}`").alias("host"), failed.alias("failed"))
+    rejected = checkpoint(host_verdicts(tested, "host", "failed").filter("host_rejected").select(F.col("host").alias(p)))
+    passed = docs.filter(~failed)
+    same = F.col(f"`{host}`").eqNullSafe(F.col(p))
+    if rejected.count() <= BROADCAST_HOSTS:
+        return passed.join(F.broadcast(rejected), same, "left_anti")
+    salted = rejected.withColumn(f"{p}_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return passed.join(salted, same & (F.pmod(F.xxhash64(F.col(f"`{text}`")), F.lit(SALTS)) == F.col(f"{p}_salt")), "left_anti")
 
 
 SQL = r"""

@@ -93,6 +93,24 @@ def test_clashing_columns(spark, docs):
     assert op3_bpe.digest(odd, vocabulary()).count() == op4_pii.digest(odd).count() == op5_secrets.digest(odd).count() == docs.count()
 
 
+def test_rejected_hosts_beyond_the_broadcast_bound(spark, docs, monkeypatch):
+    bad = spark.createDataFrame([(1000 + i, "short", "en", "bad.org", 5) for i in range(40)] + [(2000, " ".join(f"w{i}" for i in range(50)), "en", "bad.org", 5)], SCHEMA)
+    both = docs.union(bad)
+    judged, out = op6_quality_rules.judge(both)
+    want = rows(judged.filter(f"{out}.kept").drop(out))
+    assert 2000 not in {r[0] for r in want} and want
+    assert rows(op6_quality_rules.keep_good(both)) == want
+    monkeypatch.setattr(op6_quality_rules, "BROADCAST_HOSTS", 0)
+    assert rows(op6_quality_rules.keep_good(both)) == want
+
+
+def test_bpe_ids(spark):
+    made = op3_bpe.encode_documents(spark.createDataFrame([(1, "a bc"), (2, None), (3, "é🙂 x")], "doc_id bigint, text string"), vocabulary(), out="o").collect()
+    for r in made:
+        assert r["o"]["n_tokens"] == len(r["o"]["ids"]) and r["o"]["decoded"] == (r["text"] or "")
+        assert r["o"]["ids_sha256"] == hashlib.sha256(struct.pack(f"<{len(r['o']['ids'])}I", *r["o"]["ids"])).hexdigest()
+
+
 def test_bpe(spark, docs):
     from tokenizers import Tokenizer
 
