@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder as Parquet and read again. Made once; later uses read only the columns that they need."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    plain.write.parquet(path)
+    return df.sparkSession.read.schema(plain.schema).parquet(path).toDF(*df.columns)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case; every other character as it is."""
     return F.translate(text, UPPER, LOWER)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, bind, checkpoint, own_name
+from .common import SPACES, bind, checkpoint, own_name, written
 
 WINDOW = 5
 HOST_RATE = 0.6
@@ -110,12 +110,15 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
-    """The documents that pass. Texts aren't shuffled but if more hosts than BROADCAST_HOSTS are rejected; then hosts are salted."""
+    """The documents that pass. Each text is measured once: rows are written with their verdict, from which hosts' counts read two columns.
+
+    Texts aren't shuffled but if more hosts than BROADCAST_HOSTS are rejected; then hosts are salted.
+    """
     p = own_name(docs, "quality")
-    failed = bind(word_counts(F.col(f"`{text}`")), base_failed)
-    tested = docs.select(F.col(f"`{host}`").alias("host"), failed.alias("failed"))
-    rejected = checkpoint(host_verdicts(tested, "host", "failed").filter("host_rejected").select(F.col("host").alias(p)))
-    passed = docs.filter(~failed)
+    tested = written(docs.withColumn(p, bind(word_counts(F.col(f"`{text}`")), base_failed)))
+    verdicts = host_verdicts(tested, host, p).filter("host_rejected")
+    rejected = checkpoint(verdicts.select(F.col("host").alias(p)))
+    passed = tested.filter(~F.col(p)).drop(p)
     same = F.col(f"`{host}`").eqNullSafe(F.col(p))
     if rejected.count() <= BROADCAST_HOSTS:
         return passed.join(F.broadcast(rejected), same, "left_anti")
