@@ -1,26 +1,30 @@
-"""Main text of web pages, by markup roles and by differencing each page against its nearest neighbour by URL.
+"""Main text of web pages, by differencing each page against its nearest neighbour by URL, and by markup roles.
 
-Pages of a host are sorted by path; each page is paired with the neighbour whose path has the longest common start.
-Blocks of text are the lines; the longest common subsequence of both pages' lines is boilerplate and goes, except for lines
-inside an article or main element, which are content whoever shares them. Menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles and reader comments go by their elements, roles and class names.
+Pages of a host are sorted by path; each page is paired with the neighbour whose path has the longest common start. Pages of
+a host with the same lines count as one, at their least path, so a page is never paired with its own copy. Blocks of text are
+the lines; the longest common subsequence of both pages' lines is boilerplate and goes, except for lines that are inside
+the article or main element of both pages; other lines stay. Menus, headers, footers, sidebars, notices, adverts, forms, scripts,
+styles and reader comments go by their elements, roles and class names. A page without neighbour gives its article, else its
+main element, else all lines.
 
 Null or empty html: empty text. Pages without a host have no neighbour. Sorting is by ranges, so no task gets a whole host;
-the first page of a range pairs with the next one. Repeated rows are all returned. Truncated markup is closed at its end.
+the edge rows of each range meet those of the next one by host. Repeated rows are all returned. Truncated markup is closed at its end.
 """
 
 from __future__ import annotations
 
 import bisect
+import hashlib
 import html as entities
 import os.path
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checkpoint
 from .op9_url_filters import host_and_path
 
 RAW = "script|style|noscript|template|textarea|select|svg|iframe|object|canvas|math|title"
@@ -114,7 +118,7 @@ def blocks_of(page: str | None) -> list[tuple[str, str]]:
     return out
 
 
-def common_lines(a: list[str], b: list[str]) -> set[int]:
+def common_lines(a: list, b: list) -> set[int]:
     """Positions in a of a longest common subsequence of a and b: the longest rising run over the matching pairs."""
     where: dict[str, list[int]] = {}
     for j, line in enumerate(b):
@@ -137,49 +141,113 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def main_text(roles: list[str], lines: list[str], neighbour: list[str] | None) -> str:
-    shared = common_lines(lines, neighbour) if neighbour else set()
-    best = "article" if "article" in roles else "main" if "main" in roles else ""
-    return " ".join(t for i, (r, t) in enumerate(zip(roles, lines, strict=True)) if r == best and (best or i not in shared))
+def marks_of(lines: list[int], neighbour: dict | None) -> bytes | None:
+    """Of each line: 0 if it is the page's own, 1 if the neighbour has it as content too, 2 if it is boilerplate. None without a neighbour."""
+    if neighbour is None:
+        return None
+    shared = common_lines(lines, neighbour["lines"])
+    content = {x for x, inside in zip(neighbour["lines"], neighbour["content"], strict=True) if inside}
+    return bytes(0 if i not in shared else 1 if x in content else 2 for i, x in enumerate(lines))
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One sorted range of pages; a page waits for the next one to choose between its two neighbours."""
-    before = now = None
+def line_hashes(blocks: list[tuple[str, str]]) -> list[bytes]:
+    return [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest() for _, t in blocks]
+
+
+def best_role(roles: list[str]) -> str:
+    return "article" if "article" in roles else "main" if "main" in roles else ""
+
+
+def main_text(roles: list[str], lines: list[str], marks: bytes | None) -> str:
+    best = best_role(roles)
+    if marks is None:
+        return " ".join(t for r, t in zip(roles, lines, strict=True) if r == best)
+    return " ".join(t for r, t, m in zip(roles, lines, marks, strict=True) if m == 0 or m == 1 and best and r == best)
 
-    def near(one, other) -> int:
-        return -1 if other is None or not one["host"] or one["host"] != other["host"] else len(os.path.commonprefix([one["path"], other["path"]]))
 
-    def done(after) -> dict:
-        one = max((before, after), key=lambda other: near(now, other))
-        text = main_text(now["roles"], now["lines"], one["lines"] if near(now, one) >= 0 else None)
-        return {"page_id": now["page_id"], "url": now["url"], "text": text, "n_chars": len(text)}
+def nearest(one: dict, others: list[dict | None]) -> dict | None:
+    """Of others, which are of the same host or None, the one whose path has the longest common start with one's."""
+    return max((x for x in others if x), key=lambda x: len(os.path.commonprefix([one["path"], x["path"]])), default=None)
+
+
+PAGE = "path:string,lines:array<bigint>,content:binary"
+_PAGE = [("path", pa.string()), ("lines", pa.list_(pa.int64())), ("content", pa.binary())]
+_MARKED = pa.schema([("host", pa.string()), ("key", pa.binary()), ("marks", pa.binary()), ("at", pa.int64()), ("own", pa.struct(_PAGE)), ("before", pa.struct(_PAGE)), ("after", pa.struct(_PAGE))])
+MARKED = f"host string, key binary, marks binary, at long, own struct<{PAGE}>, before struct<{PAGE}>, after struct<{PAGE}>"
+
+
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One sorted range of pages; a page waits for the next one. The first and last rows of the range go out with what they know of their neighbours."""
+    before = now = None
+    at = 0
+
+    def done(after: dict | None, edge: bool) -> dict:
+        beside = [x["own"] if x and x["host"] == now["host"] else None for x in (before, after)]
+        row = {"host": now["host"], "key": now["key"]}
+        return row | ({"at": at, "own": now["own"], "before": beside[0], "after": beside[1]} if edge else {"marks": marks_of(now["own"]["lines"], nearest(now["own"], beside)) or b""})
 
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
     for batch in batches:
         rows = []
         for after in batch.to_pylist():
             if now is not None:
-                rows.append(done(after))
+                rows.append(done(after, before is None))
+                at += 1
             before, now = now, after
-        yield pa.RecordBatch.from_pylist(rows, schema)
+        yield pa.RecordBatch.from_pylist(rows, _MARKED)
     if now is not None:
-        yield pa.RecordBatch.from_pylist([done(None)], schema)
+        yield pa.RecordBatch.from_pylist([done(None, True)], _MARKED)
+
+
+def _mark_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("host", pa.string()), ("key", pa.binary()), ("marks", pa.binary())])
+    for batch in batches:
+        yield pa.RecordBatch.from_pylist([{"host": r["host"], "key": r["key"], "marks": marks_of(r["own"]["lines"], nearest(r["own"], [r["before"], r["after"]])) or b""} for r in batch.to_pylist()], schema)
+
+
+def marked(cut: DataFrame) -> DataFrame:
+    """host, key, marks of each distinct page of a host; empty marks if it is the host's only one. Only hashes of lines move. cut: host, key, path, hashes, content."""
+    own = F.struct("path", F.col("hashes").alias("lines"), "content")
+    pages = cut.filter("host <> '' and size(hashes) > 0").groupBy("host", "key").agg(F.min(own).alias("own"))
+    by = ("host", "own.path", "key")
+    ranged = pages.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(_mark, MARKED)
+    found = checkpoint(ranged.withColumn("part", F.spark_partition_id()))
+    # an edge row's missing neighbour is the edge row of its host in the ranges beside
+    order = Window.partitionBy("host").orderBy("part", "at")
+    edges = found.filter("marks is null").select("host", "key", "own", F.coalesce("before", F.lag("own").over(order)).alias("before"), F.coalesce("after", F.lead("own").over(order)).alias("after"))
+    return found.filter("marks is not null").select("host", "key", "marks").union(edges.mapInArrow(_mark_edges, "host string, key binary, marks binary"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each page."""
     text = pa.list_(pa.string())
 
-    @F.arrow_udf("struct<roles:array<string>,lines:array<string>>")
+    @F.arrow_udf("struct<key:binary,hashes:array<bigint>,content:binary>")
+    def digests(htmls: pa.Array) -> pa.Array:
+        out = []
+        for x in htmls:
+            found = blocks_of(x.as_py())
+            best = best_role([r for r, _ in found])
+            hashes = line_hashes(found)
+            out.append({"key": hashlib.md5(b"".join(hashes)).digest(), "hashes": [int.from_bytes(h, "little", signed=True) for h in hashes], "content": bytes(best != "" and r == best for r, _ in found)})
+        return pa.array(out, pa.struct([("key", pa.binary()), ("hashes", pa.list_(pa.int64())), ("content", pa.binary())]))
+
+    @F.arrow_udf("struct<key:binary,roles:array<string>,lines:array<string>>")
     def parse(htmls: pa.Array) -> pa.Array:
-        found = [blocks_of(x.as_py()) for x in htmls]
-        return pa.array([{"roles": [r for r, _ in f], "lines": [t for _, t in f]} for f in found], pa.struct([("roles", text), ("lines", text)]))
+        out = []
+        for x in htmls:
+            found = blocks_of(x.as_py())
+            out.append({"key": hashlib.md5(b"".join(line_hashes(found))).digest(), "roles": [r for r, _ in found], "lines": [t for _, t in found]})
+        return pa.array(out, pa.struct([("key", pa.binary()), ("roles", text), ("lines", text)]))
 
     @F.arrow_udf("struct<host:string,path:string>")
     def parts(urls: pa.Array) -> pa.Array:
         return pa.array([dict(zip(("host", "path"), host_and_path(u.as_py()), strict=True)) for u in urls], pa.struct([("host", pa.string()), ("path", pa.string())]))
 
-    cut = pages.select(F.col("page_id").cast("long"), "url", parse("html").alias("b"), parts("url").alias("p")).select("page_id", "url", "p.host", "p.path", "b.roles", "b.lines")
-    by = ("host", "path", "page_id", "url")
-    return cut.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    @F.arrow_udf("string")
+    def choose(roles: pa.Array, lines: pa.Array, marks: pa.Array) -> pa.Array:
+        return pa.array([main_text(r, t, m or None) for r, t, m in zip(roles.to_pylist(), lines.to_pylist(), marks.to_pylist(), strict=True)], pa.string())
+
+    cut = pages.select(digests("html").alias("b"), parts("url").alias("p")).select("p.host", "p.path", "b.*")
+    whole = pages.select(F.col("page_id").cast("long"), "url", parse("html").alias("b"), parts("url").alias("p")).select("page_id", "url", "p.host", "b.*")
+    joined = whole.join(marked(cut), ["host", "key"], "left")
+    return joined.select("page_id", "url", choose("roles", "lines", "marks").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
