@@ -29,7 +29,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op8_ngram_jaccard.keep_first(docs)
+    """One document of each class of near copies: 80 % of their five-word shingles in common."""
+    return op8_ngram_jaccard.keep_first(docs, words=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -179,10 +179,10 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     return out.select("doc_id", "fingerprint", F.col("n").alias("n_shingles"), F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), "row", (F.col("set").isNull() | (F.col("row") == F.col("first.row"))).alias("first"))
 
 
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One document of each class: the least doc_id. Where rows repeat whole, one of them stays."""
     f, d, stay = own_name(docs, "fingerprint"), own_name(docs, "kept_id"), own_name(docs, "all_stay")
-    kept = classes(docs, doc_id, text).filter("first").groupBy(F.col("doc_id").alias(d), F.col("fingerprint").alias(f)).agg(F.max(F.col("n_shingles") == 0).alias(stay))
+    kept = classes(docs, doc_id, text, words, percent).filter("first").groupBy(F.col("doc_id").alias(d), F.col("fingerprint").alias(f)).agg(F.max(F.col("n_shingles") == 0).alias(stay))
     # a class is represented by one row, but rows with its doc_id and text may be more than one
     joined = docs.join(kept, docs[f"`{doc_id}`"].eqNullSafe(kept[d]) & (F.xxhash64(docs[f"`{text}`"]) == kept[f]))
     once = joined.filter(~F.col(stay)).dropDuplicates([d, f]).union(joined.filter(stay))
