@@ -6,7 +6,9 @@ each passage retrieves all pieces that score SCORE or more. Terms are split so t
 SCORE - FREQUENT_SHARE from a piece's rarer words; passages that lack these (the usual case) are passed over in bulk, the
 rest go through block-max WAND. Retrieved items are verified by five-word shingles of question and answer.
 
-Only the test set is broadcast, in blocks of at most BLOCK_ITEMS items and BLOCK_CHARS characters; more items make more passes.
+Only the test set is broadcast, in blocks of at most BLOCK_ITEMS items and BLOCK_CHARS characters. Of more than one block, each
+is read, broadcast and released before the next one, and makes a pass over the texts. Rows of the test set stand for themselves: each
+text of a repeated item_id is searched for, and so are those of a null item_id; a text and an item_id make one leak, the best scored.
 An item's answer is its last sentence, its question the rest. Null or wordless text: no leak. Items without words match nothing. Repeated
 rows are judged alike; extra columns stay as they are. Letter case and ASCII punctuation don't count.
 """
@@ -14,16 +16,19 @@ rows are judged alike; extra columns stay as they are. Letter case and ASCII pun
 from __future__ import annotations
 
 import bisect
+import itertools
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import own_name
+from .common import checkpoint, own_name, written
 from .hashing import PUNCTUATION, ngrams, word_hashes
 
 K1, B = 1.2, 0.75
@@ -49,14 +54,15 @@ def question_and_answer(text: str) -> tuple[str, str]:
 class Index:
     """Postings of a block of items, with the maximal weight of each term and of each posting block."""
 
-    def __init__(self, items: list[tuple[int, str]], score: float = SCORE):
-        self.score, self.item, self.sides, bags = score, [], {}, []
-        for item, text in items:
+    def __init__(self, items: list[tuple[int | None, str]], score: float = SCORE):
+        # pieces belong to rows, as an item_id may be repeated or null
+        self.score, self.ids, self.row, self.sides, bags = score, [i for i, _ in items], [], [], []
+        for row, (_, text) in enumerate(items):
             q, a = question_and_answer(text or "")
-            self.sides[item] = (words_of(q), words_of(a))
+            self.sides.append((words_of(q), words_of(a)))
             words = words_of(text)
             for at in range(0, len(words), PIECE_WORDS):
-                self.item.append(item)
+                self.row.append(row)
                 bags.append(Counter(words[at : at + PIECE_WORDS].tolist()))
         df = Counter(t for bag in bags for t in bag)
         mean = sum(sum(b.values()) for b in bags) / max(1, len(bags))
@@ -156,8 +162,8 @@ class Index:
         for block in self.passages(words):
             terms = np.unique(words[block * PIECE_WORDS : (block + 2) * PIECE_WORDS]).tolist()
             for piece, score in self.retrieve(terms):
-                best[self.item[piece]] = max(best.get(self.item[piece], 0.0), score)
-        out, grams = [], {}
+                best[self.row[piece]] = max(best.get(self.row[piece], 0.0), score)
+        out, grams = {}, {}
 
         def overlap(side: np.ndarray) -> float:
             n = min(SHINGLE, len(side))
@@ -166,34 +172,34 @@ class Index:
             own = np.unique(ngrams(side, n))
             return float(np.isin(own, grams[n]).mean())
 
-        for item in sorted(best):
-            q, a = map(overlap, self.sides[item])
-            if q >= OVERLAP and a >= OVERLAP:
-                out.append({"item_id": item, "score": best[item], "question_overlap": q, "answer_overlap": a})
-        return out
+        for row in sorted(best):
+            q, a = map(overlap, self.sides[row])
+            item = self.ids[row]
+            if q >= OVERLAP and a >= OVERLAP and (item not in out or best[row] > out[item]["score"]):
+                out[item] = {"item_id": item, "score": best[row], "question_overlap": q, "answer_overlap": a}
+        return list(out.values())
 
 
-def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> list[list[tuple[int, str]]]:
+def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> Iterator[list[tuple[int | None, str]]]:
     """The items, in blocks within the stated bounds; an item longer than a block is a block of its own."""
-    out, chars = [[]], 0
-    for i, t in benchmark.filter(F.col(text).isNotNull() & F.col(item).isNotNull()).select(item, text).orderBy(item, text).toLocalIterator():
-        if out[-1] and (len(out[-1]) >= BLOCK_ITEMS or chars + len(t) > BLOCK_CHARS):
-            out.append([])
-            chars = 0
-        out[-1].append((i, t))
+    block, chars = [], 0
+    for i, t in benchmark.filter(F.col(text).isNotNull()).select(item, text).distinct().orderBy(item, text).toLocalIterator():
+        if block and (len(block) >= BLOCK_ITEMS or chars + len(t) > BLOCK_CHARS):
+            yield block
+            block, chars = [], 0
+        block.append((i, t))
         chars += len(t)
-    return [b for b in out if b]
+    if block:
+        yield block
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
     """docs with one more column, whose name is returned: array of the items that each text leaks."""
     out, context = own_name(docs, "leaks"), docs.sparkSession.sparkContext
-    found = F.array().cast(LEAKS)
+    none = F.array().cast(LEAKS)
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
 
-    def in_block(block: list[tuple[int, str]]):
-        shared = context.broadcast(block)
-
+    def in_block(shared):
         @F.arrow_udf(LEAKS)
         def leaks(texts: pa.Array) -> pa.Array:
             index = index_of(shared)
@@ -201,9 +207,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> tup
 
         return leaks(F.col(f"`{text}`"))
 
-    for block in blocks(benchmark):
-        found = F.concat(found, in_block(block))
-    return docs.withColumn(out, found), out
+    rest = blocks(benchmark)
+    ahead = list(itertools.islice(rest, 2))
+    if len(ahead) < 2:
+        return docs.withColumn(out, in_block(context.broadcast(ahead[0])) if ahead else none), out
+    row = own_name(docs, "row")
+    kept, found = written(docs.withColumn(row, F.monotonically_increasing_id())), []
+    while block := ahead.pop(0) if ahead else next(rest, None):
+        shared = context.broadcast(block)
+        found.append(checkpoint(kept.select(F.col(f"`{row}`").alias("row"), F.explode(in_block(shared)).alias("leak"))))
+        shared.destroy()
+    each = reduce(DataFrame.union, found).groupBy("row", "leak.item_id").agg(F.max_by("leak", "leak.score").alias("leak"))
+    leaks = each.groupBy(F.col("row").alias(row)).agg(F.sort_array(F.collect_list("leak")).alias(out))
+    return kept.join(leaks, row, "left").withColumn(out, F.coalesce(F.col(f"`{out}`"), none)).drop(row), out
 
 
 _indexes: dict[int, Index] = {}
