@@ -2,7 +2,7 @@
 
 Base candidates are found by three patterns; generic ones are long tokens that mix cases and digits. The hash of each
 candidate's value is counted over distinct repositories and owners: a value that many owners hold is a copied example,
-one that a single owner holds is live-looking. Live-looking generic tokens are added to the base spans.
+one that a single owner holds is live-looking, in however many repositories or copies. Live-looking generic tokens are added to the base spans.
 
 Null or empty text: no spans. A null owner or repository counts as one more. Empty table: empty result. Repeated rows
 are all returned. Spans are code points, end exclusive; kinds sort as in KINDS.
@@ -23,8 +23,8 @@ PATTERNS = (
     ("other", r"(?<![A-Za-z0-9+/_=-])(?=[a-z0-9+/_=-]*+[A-Z])[A-Za-z0-9+/_=-]{24,}", 0),
 )
 KINDS = tuple(k for k, _, _ in PATTERNS)
-#: Live-looking: held by at most so many owners and repositories.
-LIVE_OWNERS, LIVE_REPOSITORIES = 1, 3
+#: Live-looking: held by at most so many owners.
+LIVE_OWNERS = 1
 
 
 def passes(kind: str, value: Column) -> Column:
@@ -87,7 +87,7 @@ def ownership(scanned: DataFrame) -> DataFrame:
     held = scanned.select("owner", "repository", F.explode("secrets.hash").alias("hash"))
     distinct = lambda c: (F.count_distinct(c) + F.max(F.col(c).isNull().cast("int"))).alias(f"n_{c}")
     owners = held.groupBy("hash", "owner", "repository").agg(F.lit(1)).groupBy("hash").agg(distinct("owner"), distinct("repository"))
-    live = (F.col("n_owner") <= LIVE_OWNERS) & (F.col("n_repository") <= LIVE_REPOSITORIES)
+    live = F.col("n_owner") <= LIVE_OWNERS
     return owners.select("hash", F.col("n_owner").alias("n_owners"), F.col("n_repository").alias("n_repositories"), live.alias("live"))
 
 
