@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from .sources.adapters import event_count, event_gauge, event_ratio, lineitem_ga
 
 START, END, DAY = 1704412800.0, 1706140800.0, 86400.0
 _S, _E, _D = (round(x * SECOND) for x in (START, END, DAY))
+#: A range and histogram bounds that hold whole tables of events.
+WHOLE, WHOLE_VALUES = (1704067200.0, 1735689600.0), (0, 10_000, 1_000)
 #: Coalescing over events, which come every few minutes.
 NEAR, BLOCK = 900 * SECOND, 6 * 3600 * SECOND
 
@@ -45,13 +48,24 @@ def flat(df: DataFrame) -> DataFrame:
     return out.withColumn("group", F.concat_ws("/", "group")) if "group" in df.columns else out
 
 
-def _on_events(kind: str, operation: str, window: float | None = None, percentile: float | None = None, **options) -> Callable[[SparkSession, str], DataFrame]:
+def over(x, span: tuple[float, float]):
+    """A query or expression with its range, or those of all its leaves, replaced by span."""
+    if isinstance(x, Query):
+        return replace(x, start=span[0], end=span[1])
+    if isinstance(x, Leaf):
+        return replace(x, query=over(x.query, span))
+    if isinstance(x, Arithmetic):
+        return replace(x, left=over(x.left, span), right=over(x.right, span))
+    return replace(x, arguments=tuple(over(a, span) for a in x.arguments)) if isinstance(x, Function) else x
+
+
+def _on_events(kind: str, operation: str, window: float | None = None, percentile: float | None = None, **options) -> Callable[..., DataFrame]:
     empty = options.pop("include_empty_groups", False)
-    return lambda s, d: flat(aggregate(KINDS[kind](table(s, d, "events")), kind, operation, query(**options), window, percentile, empty))
+    return lambda s, d, span=(START, END): flat(aggregate(KINDS[kind](table(s, d, "events")), kind, operation, over(query(**options), span), window, percentile, empty))
 
 
-def _composed(expression: Expression, window: float | None = None) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda s, d: flat(compose(expression, lambda metric, q, w: (metric, KINDS[metric](table(s, d, "events"))), window))
+def _composed(expression: Expression, window: float | None = None) -> Callable[..., DataFrame]:
+    return lambda s, d, span=(START, END): flat(compose(over(expression, span), lambda metric, q, w: (metric, KINDS[metric](table(s, d, "events"))), window))
 
 
 def _leaf(metric: str, operation: str, **options) -> Leaf:
@@ -118,10 +132,10 @@ def _stats(s: SparkSession, d: str) -> DataFrame:
     return statistics.storage_stats(coalesce_points(points, "gauge", NEAR, BLOCK))
 
 
-def _rollup(s: SparkSession, d: str) -> DataFrame:
+def _rollup(s: SparkSession, d: str, span: tuple[float, float] = (START, END)) -> DataFrame:
     """Hourly averages of points stored by fifteen minutes, as a coarser granularity would give them."""
     points = event_gauge(table(s, d, "events")).withColumn("tags", F.slice("tags", 1, 1)).withColumn("primary_tag", F.lit("default"))
-    return flat(aggregate(coalesce_points(points, "gauge", NEAR, BLOCK), "gauge", "average", query(), 3600.0))
+    return flat(aggregate(coalesce_points(points, "gauge", NEAR, BLOCK), "gauge", "average", over(query(), span), 3600.0))
 
 
 def _lineitem(kind: str, operation: str, group_by: tuple[str, ...]) -> Callable[[SparkSession, str], DataFrame]:
@@ -202,9 +216,21 @@ select event_type, round((bucket + (total * 0.95 - (upto - n)) / n) * 10, 6) as
     out["primary_tags"] = lambda s, d: event_gauge(table(s, d, "events")).groupBy(primary_tag(F.col("tags"), ["user:3"]).alias("primary_tag")).agg(F.count("*").alias("n")), """select case when user_id = 3 then 'user:3' else 'default' end as primary_tag, count(*) as n from events group by all"""
     out["lineitem_price"] = _lineitem("gauge", "average", ("flag", "status")), f"""select l_returnflag || '/' || l_linestatus as "group", round(avg(l_extendedprice::float::double), 6) as value from lineitem where {_IN} group by l_returnflag, l_linestatus"""
     out["lineitem_returned"] = _lineitem("ratio", "sum", ("status",)), f"""select l_linestatus as "group", round(sum(case when l_returnflag = 'R' then l_quantity::bigint else 0 end) / sum(l_quantity::bigint), 6) as value from lineitem where {_IN} group by l_linestatus"""
+    out |= {f"{name}_whole": _whole(*out[name]) for name in out if name.startswith(("gauge_", "ratio_", "count_", "expr_", "rollup_"))}
+    low, high, buckets = WHOLE_VALUES
+    out["histogram_percentile_whole"] = lambda s, d: statistics.histogram_percentile(table(s, d, "events"), "value", 95, low, high, buckets, ["event_type"]).withColumn("percentile", F.round("percentile", 6)), out["histogram_percentile"][1].replace("value < 500", f"value < {high}")
     return out
 
 
+def _whole(run: Callable[..., DataFrame], sql: str | None) -> tuple[Callable[[SparkSession, str], DataFrame], str | None]:
+    """The same query and SQL over a range that holds the whole table; those over START..END show the range itself."""
+    start, end = (round(x * SECOND) for x in WHOLE)
+    spans = {_S: start, _E: end, _E - 1: end - 1, END - START: WHOLE[1] - WHOLE[0]}
+    for old, new in spans.items():
+        sql = sql and sql.replace(str(old), str(new))
+    return lambda s, d: run(s, d, WHOLE), sql
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: q for n, (q, _) in _pairs().items()}
 
