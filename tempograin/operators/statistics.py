@@ -35,6 +35,45 @@ def histogram_percentile(df: DataFrame, value: str, percentile: float, low: floa
     return hit.select(*keys, (low + (F.col("bucket") + inside) * width).alias("percentile"))
 
 
+def histogram(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, low, high, buckets, bucket, n: counts of equal buckets between the least and the largest value; as many as the root of the count, rounded up. Other rows than NaN and null count."""
+    x = F.col(value).cast("double")
+    values = df.filter(x.isNotNull() & ~F.isnan(x)).select(*keys, x.alias("_x"))
+    spans = values.groupBy(*keys).agg(F.min("_x").alias("low"), F.max("_x").alias("high"), F.ceil(F.sqrt(F.count("*"))).alias("buckets"))
+    return _counted(values.withColumn("_n", F.lit(1)), spans, keys)
+
+
+def _counted(values: DataFrame, spans: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Counts _n of values _x in the buckets of spans, which has a row for each combination of keys."""
+    met = values.join(spans, [*keys]) if keys else values.crossJoin(F.broadcast(spans))  # without keys, spans is a single row
+    place = F.floor((F.col("_x") - F.col("low")) / (F.col("high") - F.col("low")) * F.col("buckets"))
+    bucket = F.when(F.col("high") > F.col("low"), F.least(place, F.col("buckets") - 1)).otherwise(F.lit(0))
+    return met.groupBy(*keys, "low", "high", "buckets", bucket.cast("long").alias("bucket")).agg(F.sum("_n").alias("n"))
+
+
+def merge_histograms(histograms: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """One histogram for each combination of keys of rows as histogram() makes them: each bucket's count goes to the new bucket of its middle."""
+    middle = F.col("low") + (F.col("bucket") + 0.5) / F.col("buckets") * (F.col("high") - F.col("low"))
+    spans = histograms.groupBy(*keys).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.ceil(F.sqrt(F.sum("n"))).alias("buckets"))
+    return _counted(histograms.select(*keys, middle.alias("_x"), F.col("n").alias("_n")), spans, keys)
+
+
+def percentile_of(histograms: DataFrame, percentile: float, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, percentile: interpolated within the bucket that holds the rank, which is rounded to a whole count."""
+    order = Window.partitionBy(*keys).orderBy("bucket")
+    ranked = histograms.withColumns({"_upto": F.sum("n").over(order), "_rank": F.round(F.sum("n").over(Window.partitionBy(*keys)) * (percentile / 100))})
+    hit = ranked.filter((F.col("_upto") >= F.col("_rank")) & ((F.col("_upto") - F.col("n") < F.col("_rank")) | ((F.col("_upto") == F.col("n")) & (F.col("_rank") == 0))))
+    inside = (F.col("_rank") - (F.col("_upto") - F.col("n"))) / F.col("n")
+    return hit.select(*keys, (F.col("low") + (F.col("bucket") + inside) / F.col("buckets") * (F.col("high") - F.col("low"))).alias("percentile"))
+
+
+def ratio_extremes(points: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, least, most: the pairs (num, den) of the least and the largest ratio, the earlier one at a tie. Pairs without denominator are left out."""
+    pair, by = F.struct("num", "den"), F.col("num") / F.col("den")
+    first = lambda sign: F.min(F.struct((sign * by).alias("by"), "t_us", "seq", pair.alias("pair")))["pair"]
+    return points.filter("den <> 0").groupBy(*keys).agg(first(1).alias("least"), first(-1).alias("most"))
+
+
 def deltas(samples: DataFrame, keys: Sequence[str], time: str, counters: Sequence[str]) -> DataFrame:
     """samples with a column d_<counter> each: the change since the sample before of the same keys; the first one has none."""
     order = Window.partitionBy(*keys).orderBy(time)

@@ -15,6 +15,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expressions import Inputs, predicate
 from ..functions.numbers import ARITHMETIC, call
 from ..functions.tags import matches
 from ..operators.aggregates import Query, in_range, measure, window_label, with_groups, with_window
@@ -76,7 +77,9 @@ def _value(expression: Expression, columns: dict[int, Column]) -> Column:
 def _one_pass(own: list[tuple[str, Leaf]], points: Points, window: float | None) -> DataFrame:
     """group and window_us as far as they apply, and a column for each (name, leaf): leaves of one metric, group and range."""
     query = own[0][1].query
-    kind, rows = points(own[0][1].metric, query, window)
+    # partitions may be left out only by a tag filter that all leaves have
+    alike = all(x.query.tags_filter == query.tags_filter for _, x in own)
+    kind, rows = points(own[0][1].metric, query if alike else dataclasses.replace(query, tags_filter=None), window)
     rows = in_range(rows, query)
     wanted = {n: matches(F.col("tags"), x.query.tags_filter) for n, x in own}
     if all(x.query.tags_filter not in (None, "None") for _, x in own):
@@ -90,8 +93,8 @@ def _one_pass(own: list[tuple[str, Leaf]], points: Points, window: float | None)
     return (made.filter(" and ".join(f"_n{n} > 0" for n, _ in own)) if keys else made).select(*keys, *(n for n, _ in own))
 
 
-def compose(expression: Expression, points: Points, window: float | None = None) -> DataFrame:
-    """value; with group and window_start as far as the leaves have them."""
+def compose(expression: Expression, points: Points, window: float | None = None, output_filter: object = None) -> DataFrame:
+    """value; with group and window_start as far as the leaves have them. output_filter: a filter of the final values; a scalar that fails is null, other rows go."""
     all_leaves = leaves(expression)
     if not all_leaves:
         raise UnexpectedResult("an expression needs an aggregate")
@@ -110,6 +113,8 @@ def compose(expression: Expression, points: Points, window: float | None = None)
         joined = joined.join(other, on) if on else joined.crossJoin(F.broadcast(other))  # without keys, other is a single row
     columns = {id(x): F.col(f"v{i}") for i, x in enumerate(all_leaves)}
     out = joined.withColumn("value", _value(expression, columns))
+    if output_filter is not None:
+        out = out.withColumn("value", F.when(predicate(output_filter, Inputs(F.col("value"))), F.col("value")))
     keys = ["group"] * ("group" in out.columns)
     if window is not None:
         return out.filter("value is not null").select(*keys, window_label().alias("window_start"), "window_us", "value")
