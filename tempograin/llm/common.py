@@ -54,6 +54,26 @@ def bind(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Bits of the filter that may_be_in() broadcasts (16 MB), whatever the number of keys.
+FILTER_BITS = 1 << 27
+
+
+def may_be_in(df: DataFrame, key: Column, keys: DataFrame, out: str) -> DataFrame:
+    """df with a boolean column out: false only if key (never null) isn't in keys, a DataFrame of one column.
+
+    Keys set bits of a bitmap of fixed size, so what is broadcast doesn't grow with them; the more keys, the more rows
+    pass that needn't. An exact join of those that pass has to follow.
+    """
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    part, bits, own = (own_name(df, n) for n in ("filter_part", "filter_bits", "filter_at"))
+    set_bits = keys.select(at(F.col(keys.columns[0])).alias("at")).groupBy(F.bitmap_bucket_number("at").alias(part)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias(bits))
+    placed = df.withColumn(own, at(key)).join(F.broadcast(checkpoint(set_bits)), F.bitmap_bucket_number(F.col(own)) == F.col(part), "left")
+    bit = F.bitmap_bit_position(F.col(own))
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = byte.bitwiseAND(F.expr(f"shiftleft(1, cast(bitmap_bit_position({own}) % 8 as int))")) != 0
+    return placed.withColumn(out, F.coalesce(hit, F.lit(False))).drop(own, part, bits)
+
+
 def own_name(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     taken = {c.lower() for c in df.columns}

@@ -6,7 +6,7 @@ from itertools import combinations
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
-
+from tempograin.llm.common import shared_folder  # noqa: E402
 
 from .test_operators import DATA, leaks_brute  # noqa: E402
 
@@ -53,12 +53,13 @@ def test_copies_with_text_appended_or_words_changed(spark):
 
 
 def test_stages_after_it(spark):
+    shared_folder(spark)
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
-    near = STAGES["near_duplicates"](spark, docs, DATA).localCheckpoint()
+    near = STAGES["near_duplicates"](spark, docs, DATA).checkpoint()
     kept = {r["doc_id"]: r["text"] for r in near.collect()}
     assert near.columns == list(corpus_pipeline.COLUMNS)
     assert set(kept) == firsts([(r["doc_id"], r["text"] or "") for r in docs.collect()])
-    clean = STAGES["decontaminate"](spark, near, DATA).localCheckpoint()
+    clean = STAGES["decontaminate"](spark, near, DATA).checkpoint()
     assert {r["doc_id"] for r in clean.collect()} == {d for d, t in kept.items() if not leaks_brute(t, items)}
     assert STAGES["encode"](spark, clean, DATA).count() == clean.count()
