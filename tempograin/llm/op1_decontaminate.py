@@ -4,7 +4,8 @@ The index holds pieces of items, up to PIECE_WORDS words each. Weights are BM25'
 with all words of a piece scores 1. Every document is cut into overlapping passages, twice as long as a piece, and
 each passage retrieves all pieces that score SCORE or more. Terms are split so that no passage can reach SCORE without
 SCORE - FREQUENT_SHARE from a piece's rarer words; passages that lack these (the usual case) are passed over in bulk, the
-rest go through block-max WAND. Retrieved items are verified by five-word shingles of question and answer.
+rest go through block-max WAND. Retrieved items are verified by five-word shingles of question and answer, which have to be in
+the passages that retrieved the item: a text that has both, but too far apart for that, isn't a leak.
 
 Only the test set is broadcast, in blocks of at most BLOCK_ITEMS items and BLOCK_CHARS characters. Of more than one block, each
 is read, broadcast and released before the next one, and makes a pass over the texts. Rows of the test set stand for themselves: each
@@ -159,21 +160,30 @@ class Index:
     def leaks(self, text: str | None) -> list[dict]:
         words = words_of(text)
         best: dict[int, float] = {}
+        where: dict[int, list[int]] = {}
         for block in self.passages(words):
             terms = np.unique(words[block * PIECE_WORDS : (block + 2) * PIECE_WORDS]).tolist()
             for piece, score in self.retrieve(terms):
-                best[self.row[piece]] = max(best.get(self.row[piece], 0.0), score)
-        out, grams = {}, {}
+                row = self.row[piece]
+                best[row] = max(best.get(row, 0.0), score)
+                if where.setdefault(row, [block])[-1] != block:
+                    where[row].append(block)
+        out = {}
 
-        def overlap(side: np.ndarray) -> float:
+        def overlap(side: np.ndarray, spans: list[list[int]]) -> float:
             n = min(SHINGLE, len(side))
-            if n not in grams:
-                grams[n] = np.unique(ngrams(words, n))
             own = np.unique(ngrams(side, n))
-            return float(np.isin(own, grams[n]).mean())
+            return float(np.isin(own, np.concatenate([ngrams(words[a:b], n) for a, b in spans])).mean())
 
         for row in sorted(best):
-            q, a = map(overlap, self.sides[row])
+            spans: list[list[int]] = []
+            for block in where[row]:
+                # a passage has two blocks of words; those that meet are one span
+                if spans and block * PIECE_WORDS <= spans[-1][1]:
+                    spans[-1][1] = (block + 2) * PIECE_WORDS
+                else:
+                    spans.append([block * PIECE_WORDS, (block + 2) * PIECE_WORDS])
+            q, a = (overlap(side, spans) for side in self.sides[row])
             item = self.ids[row]
             if q >= OVERLAP and a >= OVERLAP and (item not in out or best[row] > out[item]["score"]):
                 out[item] = {"item_id": item, "score": best[row], "question_overlap": q, "answer_overlap": a}
