@@ -1,13 +1,15 @@
 """Personal data by bootstrapped contextual extraction.
 
-Base patterns find seed entities. Words around seeds, and around other tokens that carry digits or an at sign, are lexical
-patterns; patterns and instances form a bipartite graph that Spark scores over ROUNDS: a pattern's confidence is the mean
-score of its distinct instances, an instance's score for a kind is a noisy-or of its confident patterns. Unseen tokens of
-a fitting shape with a score of ACCEPT or more become spans of that kind; base spans always stay.
+Base patterns find seed entities. Candidates are tokens around a digit or an at sign, and runs of such tokens that hold nothing but
+digits and separators. The words around seeds and candidates are lexical patterns; patterns and instances form a bipartite
+graph that Spark scores over ROUNDS: a pattern's confidence is the share of its distinct instances' scores, an instance's score
+for a kind is a noisy-or of its confident patterns. Unseen candidates of a fitting shape with a score of ACCEPT or more
+become spans of that kind; base spans always stay, and none that overlaps one is added.
 
 Null or empty text: no spans. Empty table: empty result. Repeated rows are all returned and count once in the graph, as its
-edges are distinct. Spans are code points, end exclusive; kinds sort as in KINDS. A pattern that very many texts share is
-one row per distinct instance before anything meets by pattern.
+edges are distinct. Candidates may be of any length, and words of patterns are whole words. Equal scores of two kinds: both
+spans. Spans are code points, end exclusive; kinds sort as in KINDS. A pattern that very many texts share is one row per distinct
+instance before anything meets by pattern. Columns other than those named are left out of the digest.
 """
 
 from __future__ import annotations
@@ -22,15 +24,20 @@ from .common import checkpoint, own_name
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, CONFIDENT, ACCEPT, SUPPORT = 3, 0.8, 0.9, 3
+#: What an unseen instance of a fitting shape weighs in a pattern's count, against 1 of a seed or of one that doesn't fit.
+UNSEEN = 0.25
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-#: Tokens that may be identifiers: runs without white space around a digit or an at sign.
+#: Tokens that may be identifiers: runs without white space around a digit or an at sign; tokens of digits and separators go on in the next one.
 TOKEN = re.compile(r"\S+")
 MARKED = re.compile(r"[0-9@]")
+NUMERIC = re.compile(r"[0-9()+./-]+")
 EDGE = ".,;:!?\"'()[]{}<>"
+#: As EDGE, but round brackets can be the start of a number.
+SIDES = EDGE.replace("(", "").replace(")", "")
 
 
 def luhn(digits: str) -> bool:
@@ -70,30 +77,89 @@ def shape(token: str) -> list[int]:
     return [0] * ("@" in token[1:-1]) + [1] * (token.count(".") == 3 and not letters and digits >= 4) + [2] * (14 <= digits <= 19 and not letters) + [3] * (7 <= digits <= 15 and not letters)
 
 
+def word_before(text: str, at: int) -> tuple[int, int]:
+    """(start, end) of the last whole word before a position; empty at a text's start."""
+    while at > 0 and text[at - 1].isspace():
+        at -= 1
+    start = at
+    while start > 0 and not text[start - 1].isspace():
+        start -= 1
+    return start, at
+
+
+def bare(word: str) -> str:
+    return word.strip(EDGE).lower()
+
+
 def contexts(text: str, start: int, end: int) -> list[str]:
     """Lexical patterns around a span: the two words before; the word before and the word after. None at a text's end."""
-    left = [w.strip(EDGE).lower() for w in text[max(0, start - 80) : start].split()[-2:]]
-    right = [w.strip(EDGE).lower() for w in text[end : end + 40].split()[:1]]
-    out = [f"{left[0]} {left[1]} *"] if len(left) == 2 and all(left) else []
-    return out + ([f"{left[-1]} * {right[0]}"] if left and right and left[-1] and right[0] else [])
+    a, b = word_before(text, start)
+    one, two = bare(text[a:b]), bare(text[slice(*word_before(text, a))])
+    after = TOKEN.search(text, end)
+    right = bare(after[0]) if after else ""
+    return ([f"{two} {one} *"] if one and two else []) + ([f"{one} * {right}"] if one and right else [])
+
+
+def candidates(text: str) -> list[tuple[int, int]]:
+    """(start, end) of tokens around a digit or an at sign, without punctuation at the edges; instead of numeric tokens apart by single spaces, their run if that has a fitting shape."""
+    out, done, whole = [], 0, 0
+    run: list[tuple[int, int]] = []
+
+    def trimmed(start: int, end: int, edge: str = EDGE) -> tuple[int, int]:
+        body = text[start:end]
+        return start + len(body) - len(body.lstrip(edge)), start + len(body.rstrip(edge))
+
+    def close() -> None:
+        nonlocal whole
+        if len(run) > 1:
+            s, e = trimmed(run[0][0], run[-1][1], SIDES)
+            if shape(text[s:e]):
+                # its tokens are the latest ones
+                while len(out) > whole and out[-1][0] >= s:
+                    out.pop()
+                out.append((s, e))
+                whole = len(out)
+        run.clear()
 
-
-def found_in(text: str) -> dict:
-    base = base_spans(text)
-    rows = [{"kind": k, "start": s, "end": e, "value": text[s:e], "shapes": [k], "patterns": contexts(text, s, e)} for s, k, e in base]
-    taken, i, done = sorted((s, e) for s, _, e in base), 0, -1
     for m in MARKED.finditer(text):
         if m.start() < done:
             continue
-        start, stop = m.start(), m.end()
-        while start > max(done, 0) and not text[start - 1].isspace():
+        start = m.start()
+        while start > done and not text[start - 1].isspace():
             start -= 1
-        done = token.end() if (token := TOKEN.match(text, start)) else stop
-        body = text[start:done]
-        s, e = start + len(body) - len(body.lstrip(EDGE)), start + len(body.rstrip(EDGE))
+        done = TOKEN.match(text, start).end()
+        if run and text[run[-1][1] : start] != " ":
+            close()
+        out.append(trimmed(start, done))
+        # a comma or stop ends a run
+        core = trimmed(start, done, SIDES)
+        if NUMERIC.fullmatch(text, *core):
+            if core[0] > start and run:
+                out.pop()
+                close()
+                out.append(trimmed(start, done))
+            run.append(core)
+            if core[1] < done:
+                close()
+        elif run:
+            out.pop()
+            close()
+            out.append(trimmed(start, done))
+    close()
+    return out
+
+
+def found_in(text: str) -> dict:
+    base = base_spans(text)
+    rows = [{"kind": k, "start": s, "end": e, "value": text[s:e], "shapes": [k], "patterns": contexts(text, s, e)} for s, k, e in base]
+    taken, i = sorted((s, e) for s, _, e in base), 0
+    for s, e in candidates(text):
         while i < len(taken) and taken[i][1] <= s:
             i += 1
-        if e - s < 5 or e - s > 64 or any(a < e and s < b for a, b in taken[i : i + 8]) or not (kinds := shape(text[s:e])) or not (near := contexts(text, s, e)):
+        overlaps, j = False, i
+        while not overlaps and j < len(taken) and taken[j][0] < e:
+            overlaps, j = taken[j][1] > s, j + 1
+        if overlaps or not (kinds := shape(text[s:e])) or not (near := contexts(text, s, e)):
             continue
         rows.append({"kind": -1, "start": s, "end": e, "value": text[s:e], "shapes": kinds, "patterns": near})
     return {"base": [{"start": s, "kind": k, "end": e} for s, k, e in base], "seen": rows}
@@ -123,12 +189,16 @@ def discover(scanned: DataFrame) -> DataFrame:
     edges = checkpoint(seen.select("kind", "value", "shapes", F.explode("patterns").alias("pattern")).distinct())
     known = edges.filter("kind >= 0").select("value", "kind").distinct().withColumn("score", F.lit(1.0))
     links = edges.select("pattern", "value").distinct()
-    sizes = links.groupBy("pattern").agg(F.count("*").alias("n"))
     fits = edges.filter("kind < 0").select("value", F.explode("shapes").alias("kind")).distinct()
+    # for each pattern its instances, and for each kind those that are unseen and fit it
+    sizes = links.groupBy("pattern").agg(F.count("*").alias("n"))
+    open_ = links.join(fits, "value").groupBy("pattern", "kind").agg(F.count("*").alias("n_open"))
     scores = known
     for _ in range(ROUNDS):
         held = links.join(scores, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("sum"), F.count("*").alias("support"))
-        confident = held.join(sizes, "pattern").withColumn("confidence", F.col("sum") / (F.col("n") + 0.5)).filter((F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENT))
+        weight = F.col("n") - (1 - UNSEEN) * F.coalesce("n_open", F.lit(0)) + 0.5
+        rated = held.join(sizes, "pattern").join(open_, ["pattern", "kind"], "left").withColumn("confidence", F.least(F.col("sum") / F.greatest(weight, "sum"), F.lit(1.0)))
+        confident = rated.filter((F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENT))
         reached = links.join(confident.select("pattern", "kind", "confidence"), "pattern").join(fits, ["value", "kind"], "left_semi")
         unseen = reached.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.99)))))).alias("score"))
         scores = checkpoint(known.union(unseen))
@@ -141,10 +211,10 @@ def in_words(spans: Column) -> Column:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_discovered."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_discovered, n_spans."""
     scanned = scan(docs.select("doc_id", "text"))
     tokens = scanned.select("row", F.explode(F.filter("seen", lambda s: s["kind"] < 0)).alias("s")).select("row", "s.start", "s.end", "s.value")
     more = tokens.join(discover(scanned), "value").groupBy("row").agg(F.collect_set(F.struct("start", "kind", "end")).alias("more"))
     rows = scanned.join(more, "row", "left").withColumn("more", F.coalesce("more", F.array().cast("array<struct<start:int,kind:int,end:int>>")))
     n_of = lambda k: F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
-    return rows.select("doc_id", *map(n_of, KINDS), F.sha2(in_words(F.col("base")), 256).alias("base_sha256"), in_words(F.concat("base", "more")).alias("spans"), F.size("more").cast("long").alias("n_discovered"))
+    return rows.select("doc_id", *map(n_of, KINDS), F.sha2(in_words(F.col("base")), 256).alias("base_sha256"), in_words(F.concat("base", "more")).alias("spans"), F.size("more").cast("long").alias("n_discovered"), (F.size("base") + F.size("more")).cast("long").alias("n_spans"))
