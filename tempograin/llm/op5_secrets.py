@@ -1,11 +1,13 @@
 """Secret scanning with corpus-wide ownership frequency, with DataFrame functions only.
 
 Base candidates are found by three patterns; generic ones are long tokens that mix cases and digits. The hash of each
-candidate's value is counted over distinct repositories and owners: a value that many owners hold is a copied example,
-one that a single owner holds is live-looking, in however many repositories or copies. Live-looking generic tokens are added to the base spans.
+candidate's value is counted over distinct owners (by default a document's source), repositories (its source and language) and
+documents: a value that several owners hold is a copied example, one that a single owner holds is live-looking, in however many
+repositories or copies. Live-looking generic tokens are added to the base spans.
 
-Null or empty text: no spans. A null owner or repository counts as one more. Empty table: empty result. Repeated rows
-are all returned. Spans are code points, end exclusive; kinds sort as in KINDS.
+Null or empty text: no spans. A null owner is an owner of its own, and so is a repository with a null part. Empty table: empty
+result. Repeated rows are all returned and count once. Spans are code points, end exclusive; kinds sort as in KINDS. Texts may be
+of any length. Columns other than those named are left out of the digest.
 """
 
 from __future__ import annotations
@@ -73,32 +75,35 @@ def in_words(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(F.sort_array(spans), lambda s: F.concat_ws(":", F.get(kind, s["kind_at"]), s["start"].cast("string"), s["end"].cast("string"))))
 
 
-def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns keep of docs and secrets: array<struct<start, kind_at, end, hash>> of all candidates; found once and written to the checkpoint folder."""
+def scan(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = ("source", "lang"), document: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns keep of docs, row, owner, repository, document (hashes of both) and secrets: array<struct<start, kind_at, end, hash>> of all candidates; found once and written to the checkpoint folder."""
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     found = F.concat(*(spans_of(whole, *p) for p in PATTERNS))
     hashed = F.transform(found, lambda s: F.struct(s["start"], s["kind_at"], s["end"], F.unhex(F.sha2(s["value"], 256)).alias("hash")))
-    row = own_name(docs, "row")
-    return checkpoint(docs.select(*(F.col(f"`{c}`") for c in keep), F.monotonically_increasing_id().alias(row), F.col(f"`{owner}`").alias("owner"), F.col(f"`{repository}`").alias("repository"), hashed.alias("secrets")).withColumnRenamed(row, "row"))
+    # a null is told from every value
+    hash_of = lambda *names: F.xxhash64(*(x for n in names for x in (F.col(f"`{n}`"), F.col(f"`{n}`").isNull())))
+    held = (F.monotonically_increasing_id().alias("row"), hash_of(owner).alias("owner"), hash_of(*repository).alias("repository"), hash_of(document).alias("document"), hashed.alias("secrets"))
+    own = [own_name(docs.select(*(F.col(f"`{c}`") for c in keep)), n) for n in ("row", "owner", "repository", "document", "secrets")]
+    made = docs.select(*(F.col(f"`{c}`") for c in keep), *(x.alias(n) for x, n in zip(held, own, strict=True)))
+    return checkpoint(made).withColumnsRenamed(dict(zip(own, ("row", "owner", "repository", "document", "secrets"), strict=True)))
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
-    """hash, n_owners, n_repositories, live. Pairs are counted before they meet by hash, so a value that a third of all documents hold is a few rows."""
-    held = scanned.select("owner", "repository", F.explode("secrets.hash").alias("hash"))
-    distinct = lambda c: (F.count_distinct(c) + F.max(F.col(c).isNull().cast("int"))).alias(f"n_{c}")
-    owners = held.groupBy("hash", "owner", "repository").agg(F.lit(1)).groupBy("hash").agg(distinct("owner"), distinct("repository"))
-    live = F.col("n_owner") <= LIVE_OWNERS
-    return owners.select("hash", F.col("n_owner").alias("n_owners"), F.col("n_repository").alias("n_repositories"), live.alias("live"))
+    """hash, n_owners, n_repositories, n_documents, live. Each is made distinct before it meets by hash, so a value that a third of all documents hold is counted by many tasks."""
+    held = scanned.select("owner", "repository", "document", F.explode("secrets.hash").alias("hash"))
+    counted = held.groupBy("hash").agg(*(F.count_distinct(c).alias(f"n_{n}") for c, n in (("owner", "owners"), ("repository", "repositories"), ("document", "documents"))))
+    return counted.withColumn("live", F.col("n_owners") <= LIVE_OWNERS)
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied."""
-    scanned = scan(docs.select("doc_id", "text", "source"))
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans; n_live and n_copied of the base spans; the most repositories that hold one of the document's values."""
+    repository = tuple(c for c in ("source", "lang") if c in docs.columns)
+    scanned = scan(docs.select("doc_id", "text", *repository), repository=repository)
     each = scanned.select("row", F.explode("secrets").alias("s")).select("row", "s", F.col("s.hash").alias("hash"))
     judged = each.join(ownership(scanned), "hash")
     base = lambda s: s["kind_at"] < KINDS.index("other")
     added = judged.filter(~base(F.col("s")) & F.col("live"))
-    counted = judged.groupBy("row").agg(F.sum((base(F.col("s")) & F.col("live")).cast("long")).alias("n_live"), F.sum((base(F.col("s")) & ~F.col("live")).cast("long")).alias("n_copied"))
+    counted = judged.groupBy("row").agg(F.sum((base(F.col("s")) & F.col("live")).cast("long")).alias("n_live"), F.sum((base(F.col("s")) & ~F.col("live")).cast("long")).alias("n_copied"), F.max("n_repositories").alias("max_repositories"))
     extra = added.groupBy("row").agg(F.collect_list(F.struct("s.start", "s.kind_at", "s.end")).alias("added"))
     short = F.transform(F.filter("secrets", base), lambda s: F.struct(s["start"], s["kind_at"], s["end"]))
     rows = scanned.select("doc_id", "row", short.alias("base")).join(counted, "row", "left").join(extra, "row", "left")
@@ -107,4 +112,5 @@ def digest(docs: DataFrame) -> DataFrame:
     return rows.select(
         "doc_id", *(n_of(k) for k in KINDS[:3]), F.sha2(in_words(F.col("base")), 256).alias("base_sha256"), in_words(F.concat("base", free)).alias("spans"),
         F.coalesce("n_live", F.lit(0).cast("long")).alias("n_live"), F.coalesce("n_copied", F.lit(0).cast("long")).alias("n_copied"),
+        F.coalesce("max_repositories", F.lit(0).cast("long")).alias("max_repositories"),
     )
