@@ -1,12 +1,13 @@
 """URL filters by a bit-parallel wildcard automaton.
 
-Glob rules ("?" any character, "*" any run) are packed one after another into Shift-And masks of 64-bit words. All
+Glob rules ("?" any character, "*" any run, a backslash before a character for itself) are packed one after another into Shift-And masks of 64-bit words. All
 patterns advance together, one character of every URL of a batch at a time. A canonical URL is a dot, the host, an end
 mark, and the path, so that the glob ".example.com" after "*" fits the host and its subdomains only.
 
 Null url, or one without "://": host and path are empty, no rule fits, and the verdict is allow. A rule fits if the
 path starts with the rule's path; the longest rule wins, block before allow at a tie. Where none fits, default globs
-over the canonical URL decide: block if one fits, else allow. Repeated rows and extra columns stay as they are.
+over the canonical URL decide: block if one fits, else allow. A NUL in a url is an ordinary character; a rule can't have one.
+Repeated rows and extra columns stay as they are; an empty table gives an empty result; urls may be of any length.
 """
 
 from __future__ import annotations
@@ -36,10 +37,20 @@ def host_and_path(url: str | None) -> tuple[str, str]:
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in host), rest[slash:end] if slash >= 0 else ""
 
 
+#: Stands for a NUL in a url; as half of a pair it is in no rule.
+NUL = "\ud800"
+
+
 def rule_glob(rule: str) -> str:
+    if MARK in rule or NUL in rule:
+        raise ValueError(f"a rule can't have that character: {rule!r}")
     host, slash, path = rule.partition("/")
-    escape = "".join(c for c in (f".{host.lower()}{MARK}{slash}{path}"))
-    return f"*{escape}*"
+    escaped = "".join(f"\\{c}" if c in "\\*?" else c for c in f".{host.lower()}{MARK}{slash}{path}")
+    return f"*{escaped}*"
+
+
+def canonical(host: str, path: str) -> str:
+    return f".{host.replace(MARK, NUL)}{MARK}{path.replace(MARK, NUL)}" if host or path else ""
 
 
 class Automaton:
@@ -49,12 +60,14 @@ class Automaton:
         start, loops, any_char, by_char, ends, bit = [], [], [], {}, [], 0
         for glob in globs:
             start.append(bit)
-            for c in glob:
+            rest = iter(glob)
+            for c in rest:
                 if c == "*":
                     loops.append(bit)
                     continue
                 bit += 1
-                (any_char if c == "?" else by_char.setdefault(c, [])).append(bit)
+                # an escaped character stands for itself
+                (any_char if c == "?" else by_char.setdefault(next(rest, c) if c == "\\" else c, [])).append(bit)
             ends.append(bit)
             bit += 1
         self.words = max(1, -(-bit // 64))
@@ -97,7 +110,7 @@ def judge_urls(pages: DataFrame, rules=RULES, default_blocks=DEFAULT_BLOCKS, url
     def judge(urls: pa.Array) -> pa.Array:
         automaton = Automaton([rule_glob(r) for _, r in ranked] + list(default_blocks))
         parts = [host_and_path(u.as_py()) for u in urls]
-        fits = automaton.matches([f".{h}{MARK}{p}" if h or p else "" for h, p in parts])
+        fits = automaton.matches([canonical(h, p) for h, p in parts])
         ruled = fits[:, : len(ranked)]
         best = np.where(ruled.any(1), ruled.argmax(1), -1) if len(ranked) else np.full(len(parts), -1)
         spam = fits[:, len(ranked) :].any(1)
