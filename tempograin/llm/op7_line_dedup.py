@@ -2,7 +2,8 @@
 
 A line's key is the line without white space at its ends, A-Z in lower case. Keys are exploded as hashes, each hash's
 distinct documents are counted, and lines whose key is in MIN_DOCS documents or more go from every document. Only
-hashes and positions are shuffled for that; each text moves once, to meet the positions that it loses.
+hashes and positions are shuffled for that; each text moves once, to meet the positions that it loses. Keys in more than one
+document of HOT_SHARE are broadcast instead of shuffled: there are at most HOT_SHARE times the mean number of lines of a document.
 
 Null or empty text: one empty line. Blank lines have no key and always stay. A document is a doc_id; rows without one
 count as one document together. Repeated rows are all returned. Extra columns stay as they are. Keys are compared by
@@ -14,9 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, bind, lower_ascii, own_name
+from .common import SPACES, bind, checkpoint, lower_ascii, own_name
 
 MIN_DOCS = 10
+#: A key is hot if one document of so many has it.
+HOT_SHARE = 1_000
 
 
 def lines_of(text: Column) -> Column:
@@ -34,9 +37,14 @@ def shared_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     base = docs.select(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("fingerprint"), line_keys(F.col(f"`{text}`")).alias("keys"))
     once = base.select("id", F.explode(F.array_distinct("keys")).alias("key")).filter("key is not null")
     # null ids count as one more document, which count_distinct leaves out
-    common = once.groupBy("key").agg((F.count_distinct("id") + F.max(F.col("id").isNull().cast("int"))).alias("n")).filter(F.col("n") >= min_docs).select("key")
-    at = base.select("id", "fingerprint", F.posexplode("keys").alias("at", "key")).filter("key is not null")
-    return at.join(common, "key", "left_semi").groupBy("id", "fingerprint").agg(F.collect_set("at").alias("dropped"))
+    common = once.groupBy("key").agg((F.count_distinct("id") + F.max(F.col("id").isNull().cast("int"))).alias("n")).filter(F.col("n") >= min_docs)
+    common = checkpoint(common)
+    hot = common.filter(F.col("n") * HOT_SHARE > docs.count()).select("key", F.lit(True).alias("hot"))
+    at = base.select("id", "fingerprint", F.posexplode("keys").alias("at", "key")).filter("key is not null").join(F.broadcast(hot), "key", "left")
+    # positions of hot keys are decided; they go along under keys of their own (of 8 bytes, not 16), which meet nothing
+    spread = at.withColumn("key", F.when(F.col("hot"), F.unhex(F.lpad(F.hex(F.xxhash64("fingerprint", "at")), 16, "0"))).otherwise(F.col("key")))
+    met = spread.join(common.select("key", F.lit(True).alias("shared")), "key", "left").filter("hot or shared")
+    return met.groupBy("id", "fingerprint").agg(F.collect_set("at").alias("dropped"))
 
 
 def drop_shared_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS) -> tuple[DataFrame, str]:
