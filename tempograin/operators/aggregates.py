@@ -8,10 +8,12 @@ their groups. A range without points has sum 0 and no other value.
 from __future__ import annotations
 
 import dataclasses
+import datetime
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 from ..functions.expressions import Expression, Inputs, predicate, ratio, transform
 from ..functions.tags import matches, values_of
@@ -19,6 +21,7 @@ from .points import SECOND
 
 OPERATIONS = ("average", "sum", "max", "min", "percentile")
 ACCURACY = 10_000
+EPOCH = datetime.datetime(1970, 1, 1)
 
 
 class NotSupported(ValueError):
@@ -53,7 +56,12 @@ class Query:
 
 def in_range(points: DataFrame, query: Query) -> DataFrame:
     start, end = query.range_us
-    return points.filter((F.col("t_us") >= start) & (F.col("t_us") <= end))
+    inside = points.filter((F.col("t_us") >= start) & (F.col("t_us") <= end))
+    if isinstance(points.schema["ts"].dataType if "ts" in points.columns else None, TimestampNTZType):
+        # the same condition on the stored column, which the scan can use
+        at = lambda us: F.lit(str(EPOCH + datetime.timedelta(microseconds=us))).cast("timestamp_ntz")
+        inside = inside.filter((F.col("ts") >= at(start)) & (F.col("ts") <= at(end)))
+    return inside
 
 
 def inputs_of(kind: str) -> Inputs:

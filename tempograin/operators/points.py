@@ -1,7 +1,8 @@
 """Points of the three metric types, from any DataFrame.
 
 Schemas: metric kind "gauge": value float; "count": count bigint; "ratio": num bigint, den bigint. Each has also
-tags array<string>, t_us bigint (microseconds since the epoch), seq bigint (order of arrival).
+tags array<string>, t_us bigint (microseconds since the epoch), seq bigint (order of arrival). Points of a table with a time
+column may keep it as ts; time ranges are then also asked of ts itself, which reaches the scan.
 """
 
 from __future__ import annotations
@@ -29,17 +30,21 @@ def tag(key: str, value: Column) -> Column:
     return F.concat(F.lit(f"{key}:"), value.cast("string"))
 
 
-def gauge(df: DataFrame, t_us: Column, value: Column, tags: Column, seq: Column) -> DataFrame:
+def _points(df: DataFrame, t_us: Column, tags: Column, seq: Column, ts: Column | None, *values: Column) -> DataFrame:
+    return df.select(tags.alias("tags"), t_us.alias("t_us"), seq.alias("seq"), *values, *([] if ts is None else [ts.alias("ts")]))
+
+
+def gauge(df: DataFrame, t_us: Column, value: Column, tags: Column, seq: Column, ts: Column | None = None) -> DataFrame:
     """Values are kept as 32-bit floats."""
-    return df.select(tags.alias("tags"), t_us.alias("t_us"), seq.alias("seq"), value.cast("float").alias("value"))
+    return _points(df, t_us, tags, seq, ts, value.cast("float").alias("value"))
 
 
-def count(df: DataFrame, t_us: Column, amount: Column, tags: Column, seq: Column) -> DataFrame:
-    return df.select(tags.alias("tags"), t_us.alias("t_us"), seq.alias("seq"), amount.cast("long").alias("count"))
+def count(df: DataFrame, t_us: Column, amount: Column, tags: Column, seq: Column, ts: Column | None = None) -> DataFrame:
+    return _points(df, t_us, tags, seq, ts, amount.cast("long").alias("count"))
 
 
-def ratio(df: DataFrame, t_us: Column, num: Column, den: Column, tags: Column, seq: Column) -> DataFrame:
-    return df.select(tags.alias("tags"), t_us.alias("t_us"), seq.alias("seq"), num.cast("long").alias("num"), den.cast("long").alias("den"))
+def ratio(df: DataFrame, t_us: Column, num: Column, den: Column, tags: Column, seq: Column, ts: Column | None = None) -> DataFrame:
+    return _points(df, t_us, tags, seq, ts, num.cast("long").alias("num"), den.cast("long").alias("den"))
 
 
 def validated(points: DataFrame, kind: str) -> DataFrame:

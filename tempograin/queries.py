@@ -8,6 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import stored_queries
 from .functions.numbers import ARITHMETIC, FUNCTIONS, both, call, compare, either
 from .functions.tags import primary_tag
 from .operators import statistics
@@ -64,8 +65,21 @@ def _on_events(kind: str, operation: str, window: float | None = None, percentil
     return lambda s, d, span=(START, END): flat(aggregate(KINDS[kind](table(s, d, "events")), kind, operation, over(query(**options), span), window, percentile, empty))
 
 
-def _composed(expression: Expression, window: float | None = None) -> Callable[..., DataFrame]:
-    return lambda s, d, span=(START, END): flat(compose(over(expression, span), lambda metric, q, w: (metric, KINDS[metric](table(s, d, "events"))), window))
+def _composed(expression: Expression, window: float | None = None, output_filter: dict | None = None) -> Callable[..., DataFrame]:
+    return lambda s, d, span=(START, END): flat(compose(over(expression, span), lambda metric, q, w: (metric, KINDS[metric](table(s, d, "events"))), window, output_filter))
+
+
+def _many_values(s: SparkSession, d: str, span: tuple[float, float] = (START, END)) -> DataFrame:
+    """Two values of the grouped key on each point."""
+    points = event_gauge(table(s, d, "events"))
+    user = F.substring_index(F.get("tags", F.lit(1)), ":", -1).cast("long")
+    both = F.array(F.concat(F.lit("team:a"), (user % 3).cast("string")), F.concat(F.lit("team:b"), (user % 2).cast("string")))
+    return flat(aggregate(points.withColumn("tags", both), "gauge", "average", over(query(group_by=("team",)), span)))
+
+
+def _zero_denominators(s: SparkSession, d: str, span: tuple[float, float] = (START, END)) -> DataFrame:
+    points = event_ratio(table(s, d, "events")).withColumn("den", F.col("seq") % 3)
+    return flat(aggregate(points, "ratio", "average", over(query(), span)))
 
 
 def _leaf(metric: str, operation: str, **options) -> Leaf:
@@ -189,6 +203,17 @@ select {_WINDOW.replace('w //', 'spine.w //').replace('w as', 'spine.w as')}, ro
     out["expr_function_groups"] = _composed(Function("Max", (by, Arithmetic("Divide", most, Number(2))))), f'{_P} select event_type as "group", round(greatest(avg(v), max(v) / 2), 6) as value from r group by event_type'
     out["expr_windows"] = _composed(Arithmetic("Add", _leaf("gauge", "average"), Arithmetic("Multiply", _leaf("gauge", "max", tags_filter={"Or": ["event_type:click"]}), Number(0.5))), DAY), f"{_P} select {_WINDOW}, round(avg(v) + 0.5 * max(v) filter (event_type = 'click'), 6) as value from w group by w having count(*) filter (event_type = 'click') > 0"
     out["expr_group_windows"] = _composed(Arithmetic("Divide", _leaf("gauge", "sum", group_by=BY_TYPE), _leaf("count", "average", group_by=BY_TYPE)), DAY), f'{_P} select event_type as "group", {_WINDOW}, round(sum(v) / (count(*) / 86400.0), 6) as value from w group by w, event_type'
+    low_by = _leaf("gauge", "min", group_by=BY_TYPE)
+    out["expr_minimum"] = _composed(Arithmetic("Subtract", by, low_by)), f'{_P} select event_type as "group", round(avg(v) - min(v), 6) as value from r group by event_type'
+    out["expr_percentile"] = _composed(Arithmetic("Divide", _leaf("gauge", "percentile", group_by=BY_TYPE), _leaf("gauge", "max"))), f'{_P} select event_type as "group", round(quantile_cont(v, 0.95) / (select max(v) from r), 6) as value from r group by event_type'
+    out["expr_function_windows"] = _composed(Function("Max", (_leaf("gauge", "average"), Function("Sqrt", (_leaf("count", "sum"),)))), DAY), f"{_P} select {_WINDOW}, round(greatest(avg(v), sqrt(count(*))), 6) as value from w group by w"
+    out["expr_output_filter"] = _composed(by, output_filter={"Compare": {"operation": "GreaterThan", "left": {"Value": "InputValue"}, "right": {"Value": {"Value": 50.0}}}}), f'{_P} select event_type as "group", round(avg(v), 6) as value from r group by event_type having avg(v) > 50'
+    out["gauge_average_group_tags_or"] = _on_events("gauge", "average", group_by=BY_TYPE, tags_filter=OR), f"{_P} select event_type as \"group\", round(avg(v), 6) as value from r where {tag_sql['or']} group by event_type"
+    out["gauge_average_group_tags_orand"] = _on_events("gauge", "average", group_by=BY_TYPE, tags_filter=OR_AND), f"{_P} select event_type as \"group\", round(avg(v), 6) as value from r where {tag_sql['orand']} group by event_type"
+    out["gauge_sum_bare_filter"] = _on_events("gauge", "sum", input_filter={"Value": {"Value": 1.0}}), "select 0.0::double as value"
+    out["gauge_average_window_fraction"] = _on_events("gauge", "average", 86_400.5), _P.replace(str(_D), str(86_400_500_000)) + f" select {_WINDOW}, round(avg(v), 6) as value from w group by w"
+    out["gauge_average_group_values"] = _many_values, f"""{_P}, g as (select 'a' || user_id % 3 as g, v from r union all select 'b' || user_id % 2, v from r) select g as "group", round(avg(v), 6) as value from g group by g"""
+    out["ratio_average_zero_denominators"] = _zero_denominators, f"{_P} select round(avg(num / (seq % 3)) filter (seq % 3 <> 0), 6) as value from r"
     out["functions"] = _functions, """select event_id, round(abs(x), 6) as f_abs, round(greatest(x, 2), 6) as f_max, round(least(x, 2), 6) as f_min, round(x) + 0 as f_round, ceil(x) + 0 as f_ceil, floor(x) + 0 as f_floor,
 round(case when x >= 0 then sqrt(x) end, 6) as f_sqrt, round(x * x, 6) as f_square, round(pow(abs(x), 1.5), 4) as f_power, round(exp(x / 100), 6) as f_exponential, round(case when x > 0 then ln(x) end, 6) as f_loge,
 round(case when x > 0 then ln(x) / ln(2) end, 6) as f_logbase, round(sin(x), 6) as f_sin, round(cos(x), 6) as f_cos, round(tan(x), 6) as f_tan from (select event_id, value - 200 as x from events)"""
@@ -217,6 +242,7 @@ select event_type, round((bucket + (total * 0.95 - (upto - n)) / n) * 10, 6) as
     out["lineitem_price"] = _lineitem("gauge", "average", ("flag", "status")), f"""select l_returnflag || '/' || l_linestatus as "group", round(avg(l_extendedprice::float::double), 6) as value from lineitem where {_IN} group by l_returnflag, l_linestatus"""
     out["lineitem_returned"] = _lineitem("ratio", "sum", ("status",)), f"""select l_linestatus as "group", round(sum(case when l_returnflag = 'R' then l_quantity::bigint else 0 end) / sum(l_quantity::bigint), 6) as value from lineitem where {_IN} group by l_linestatus"""
     out |= {f"{name}_whole": _whole(*out[name]) for name in out if name.startswith(("gauge_", "ratio_", "count_", "expr_", "rollup_"))}
+    out |= stored_queries.pairs()
     low, high, buckets = WHOLE_VALUES
     out["histogram_percentile_whole"] = lambda s, d: statistics.histogram_percentile(table(s, d, "events"), "value", 95, low, high, buckets, ["event_type"]).withColumn("percentile", F.round("percentile", 6)), out["histogram_percentile"][1].replace("value < 500", f"value < {high}")
     return out

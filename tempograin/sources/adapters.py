@@ -27,16 +27,16 @@ def json_points(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 
 def event_gauge(events: DataFrame) -> DataFrame:
-    return P.gauge(events, P.micros_of_timestamp(F.col("ts")), F.col("value"), _event_tags(), F.col("event_id"))
+    return P.gauge(events, P.micros_of_timestamp(F.col("ts")), F.col("value"), _event_tags(), F.col("event_id"), F.col("ts"))
 
 
 def event_count(events: DataFrame) -> DataFrame:
-    return P.count(events, P.micros_of_timestamp(F.col("ts")), F.lit(1), _event_tags(), F.col("event_id"))
+    return P.count(events, P.micros_of_timestamp(F.col("ts")), F.lit(1), _event_tags(), F.col("event_id"), F.col("ts"))
 
 
 def event_ratio(events: DataFrame) -> DataFrame:
     """Errors over all events."""
-    return P.ratio(events, P.micros_of_timestamp(F.col("ts")), (F.col("event_type") == "error").cast("long"), F.lit(1), _event_tags(), F.col("event_id"))
+    return P.ratio(events, P.micros_of_timestamp(F.col("ts")), (F.col("event_type") == "error").cast("long"), F.lit(1), _event_tags(), F.col("event_id"), F.col("ts"))
 
 
 def _event_tags():
@@ -45,10 +45,10 @@ def _event_tags():
 
 def lineitem_gauge(lineitem: DataFrame) -> DataFrame:
     tags = F.array(P.tag("flag", F.col("l_returnflag")), P.tag("status", F.col("l_linestatus")))
-    return P.gauge(lineitem, P.micros_of_timestamp(F.col("l_shipdate")), F.col("l_extendedprice"), tags, F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    return P.gauge(lineitem, P.micros_of_timestamp(F.col("l_shipdate")), F.col("l_extendedprice"), tags, F.col("l_orderkey") * 8 + F.col("l_linenumber"), F.col("l_shipdate"))
 
 
 def lineitem_ratio(lineitem: DataFrame) -> DataFrame:
     """Returned quantity over all quantity."""
     tags = F.array(P.tag("flag", F.col("l_returnflag")), P.tag("status", F.col("l_linestatus")))
-    return P.ratio(lineitem, P.micros_of_timestamp(F.col("l_shipdate")), F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(0), F.col("l_quantity"), tags, F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    return P.ratio(lineitem, P.micros_of_timestamp(F.col("l_shipdate")), F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(0), F.col("l_quantity"), tags, F.col("l_orderkey") * 8 + F.col("l_linenumber"), F.col("l_shipdate"))
