@@ -32,7 +32,7 @@ from .common import checkpoint
 from .hashing import PUNCTUATION, mix, word_hashes
 
 ROUNDS, SURE, FOLDS, KEEP, TOXIC = 2, 0.95, 5, 0.5, 0.3
-FIT_ROWS, LESSONS = 20_000, 1_000
+FIT_ROWS, LESSONS = 5_000, 1_000
 WORD_BINS, SOURCE_BINS, LANG_BINS = 1 << 18, 1 << 16, 1 << 8
 STATISTICS = 14
 VIEWS = {"content": STATISTICS + WORD_BINS, "meta": 2 + SOURCE_BINS + LANG_BINS}
@@ -118,13 +118,14 @@ def _prepared(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), size.alias("n_chars"), F.xxhash64("doc_id", F.col("text").isNull(), "text").alias("key"))
 
 
-def _vectors(rows: DataFrame, *more: str) -> DataFrame:
-    """key, content, meta and words vectors of a bounded number of documents, written to the checkpoint folder."""
-    return checkpoint(rows.dropDuplicates(["key"]).select("key", *more, _content_vector("text").alias("content"), _meta_vector("source", "lang", "n_chars").alias("meta"), _word_vector("text").alias("words")))
+def _vectors(rows: DataFrame, views: tuple[str, ...], *more: str) -> DataFrame:
+    """key, more and a vector of each view of a bounded number of documents, written to the checkpoint folder."""
+    made = {"content": _content_vector("text"), "meta": _meta_vector("source", "lang", "n_chars"), "words": _word_vector("text")}
+    return checkpoint(rows.dropDuplicates(["key"]).select("key", *more, *(made[v].alias(v) for v in views)))
 
 
 def _fit(rows: DataFrame, view: str, target: str) -> Model:
-    model = LogisticRegression(maxIter=40, regParam=1e-3, standardization=False, featuresCol=view, labelCol=target).fit(rows.select(view, F.col(target).cast("double").alias(target)).coalesce(8))
+    model = LogisticRegression(maxIter=40, regParam=1e-3, standardization=False, featuresCol=view, labelCol=target).fit(rows.select(view, F.col(target).cast("double").alias(target)).coalesce(4))
     return Model(model.coefficients.toArray(), float(model.intercept))
 
 
@@ -157,13 +158,13 @@ def _labelled(docs: DataFrame, labels: DataFrame, target: str) -> DataFrame | No
     chosen = checkpoint(parts[0].union(parts[1]).withColumn("fold", (F.row_number().over(order) - 1) % FOLDS))
     if {r["y"]: r["n"] for r in chosen.groupBy("y").agg(F.count("*").alias("n")).filter("n > 1").collect()}.keys() != {0, 1}:
         return None
-    return _vectors(docs.join(F.broadcast(chosen), "doc_id"), "y", "fold")
+    return _vectors(docs.join(F.broadcast(chosen), "doc_id"), tuple(VIEWS) if target == "quality" else ("words",), "y", "fold")
 
 
 def _lessons(scored: DataFrame, docs: DataFrame, chance: Column) -> DataFrame:
     """Vectors and y of the LESSONS best and worst documents of which a view is sure by its calibrated chance."""
     ends = [scored.withColumn("sure", c).filter(F.col("sure") >= SURE).orderBy("sure", "key", ascending=[False, True]).select("key", F.lit(y).alias("y")).limit(LESSONS) for y, c in ((1, chance), (0, 1 - chance))]
-    return _vectors(docs.join(F.broadcast(checkpoint(ends[0].union(ends[1]).dropDuplicates(["key"]))), "key"), "y")
+    return _vectors(docs.join(F.broadcast(checkpoint(ends[0].union(ends[1]).dropDuplicates(["key"]))), "key"), tuple(VIEWS), "y")
 
 
 @dataclasses.dataclass(frozen=True)
@@ -181,9 +182,9 @@ def co_train(docs: DataFrame, labelled: DataFrame, labels: DataFrame, rounds: in
     fits = {v: _fit(train, v, "y") for v in VIEWS}
     told = []
     for _ in range(rounds):
-        # labelled documents are left out where no texts move
-        scored = _odds({v: (v, m) for v, m in fits.items()}, docs).select("doc_id", "key", "odds").join(labels.select("doc_id").distinct(), "doc_id", "left_anti")
-        scored = checkpoint(scored)
+        # labelled documents are left out once the texts are gone; a join before that would move them
+        scored = checkpoint(_odds({v: (v, m) for v, m in fits.items()}, docs).select("doc_id", "key", "odds"))
+        scored = scored.join(labels.select("doc_id").distinct(), "doc_id", "left_anti")
         taught = {v: _lessons(scored, docs, _chance(_calibrated(labelled, [(v, m)]), F.col(f"odds.{v}"))) for v, m in fits.items()}
         told.append(tuple(taught[v].count() for v in VIEWS))
         other = {"content": "meta", "meta": "content"}
