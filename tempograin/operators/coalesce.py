@@ -268,7 +268,8 @@ def _fold_groups(kind: str, near: int, step: int) -> Callable[[Iterator[pa.Recor
             blocks = block_starts(_numbers(batch, "_upto"), starts, start if first == key else None, step)
             key, start = end, int(blocks[-1])
             rows = pa.Table.from_batches([batch]).append_column("block_us", pa.array(blocks)).filter(pc.invert(batch.column("_seed"))).select(columns)
-            rows = rows if held is None else pa.concat_tables([held.select(columns), rows])
+            # computed columns and those from Spark differ in whether they may be null
+            rows = rows if held is None else pa.concat_tables([held.select(columns), rows.cast(held.select(columns).schema)])
             if not rows.num_rows:
                 continue
             made = _fold(rows.combine_chunks(), kind, near)
