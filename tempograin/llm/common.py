@@ -44,6 +44,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(plain.schema).parquet(path).toDF(*df.columns)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case; every other character as it is."""
     return F.translate(text, UPPER, LOWER)

@@ -36,14 +36,16 @@ def test_both_views_teach(spark):
     assert all(n > 20 for n in trained.lessons[0]), trained.lessons
     truth = {r[0]: r[5] for r in rows}
 
+    made = {rounds: op2.score(docs, known, rounds).collect() for rounds in (0, 2)}
+
     def auc(rounds, column):
-        made = [(r[column], truth[r["doc_id"]]) for r in op2.score(docs, known, rounds).collect() if r["doc_id"] >= 300]
-        good, bad = (np.array([s for s, t in made if t == y]) for y in (True, False))
+        scored = [(r[column], truth[r["doc_id"]]) for r in made[rounds] if r["doc_id"] >= 300]
+        good, bad = (np.array([s for s, t in scored if t == y]) for y in (True, False))
         return np.mean([(g > bad).mean() for g in good])
 
     assert auc(2, "content_score") > auc(0, "content_score")
     assert auc(2, "quality") > 0.95
-    kept = {r["doc_id"]: r["kept"] for r in op2.score(docs, known).collect()}
+    kept = {r["doc_id"]: r["kept"] for r in made[2]}
     assert np.mean([not kept[r[0]] for r in rows if r[6]]) > 0.9
 
 
