@@ -1,6 +1,10 @@
 """Corpus pipeline: quality rules, line dedup, near-duplicate removal, decontamination, BPE encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next stage's docs.
+
+In every stage: an empty table gives an empty result; a null doc_id is a value like any other; extra columns stay as they are,
+whatever their names, up to encode, which returns its own columns only. A null or wordless text goes in the quality stage, as
+do very short and very repetitive ones; texts may be of any length. Of repeated rows, and of near copies, the first one by doc_id stays.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempograin.llm import op1_decontaminate, op3_bpe, op6_quality_rules, op7_line_dedup, op8_ngram_jaccard
-from tempograin.llm.common import read, shared_folder
+from tempograin.llm.common import read, remove, shared_folder
 from tempograin.llm.queries import vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -49,9 +53,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder as Parquet."""
-    docs, folder = read(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages over documents, each written to the shared folder as Parquet; only the last one's files stay."""
+    docs, folder, before = read(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{folder}/{name}"
     return docs
