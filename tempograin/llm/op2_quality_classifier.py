@@ -8,7 +8,7 @@ tells nothing about quality is sure of nothing and teaches nothing; and at the e
 A third model finds toxic documents from words and their starts by the toxic labels; a document is kept if it is good and not toxic.
 
 Bounds: models are fitted on at most FIT_ROWS labelled documents of each class and on the lessons, all chosen by hash or by odds;
-the weights (2^18 words, 2^16 sources) are broadcast. Everything else covers all documents.
+the weights (2^16 words, 2^16 sources) are broadcast. Everything else covers all documents.
 
 Null text or metadata: an empty text, and categories of their own. Repeated labels of a document: the lower quality, the higher
 toxicity. Null labels don't count. A target of which a class has fewer than two labelled documents: a null score, by which every
@@ -33,7 +33,7 @@ from .hashing import PUNCTUATION, mix, word_hashes
 
 ROUNDS, SURE, FOLDS, KEEP, TOXIC = 2, 0.95, 5, 0.5, 0.3
 FIT_ROWS, LESSONS = 5_000, 1_000
-WORD_BINS, SOURCE_BINS, LANG_BINS = 1 << 18, 1 << 16, 1 << 8
+WORD_BINS, SOURCE_BINS, LANG_BINS = 1 << 16, 1 << 16, 1 << 8
 STATISTICS = 14
 VIEWS = {"content": STATISTICS + WORD_BINS, "meta": 2 + SOURCE_BINS + LANG_BINS}
 #: The bytes that a word's start has.
@@ -125,7 +125,7 @@ def _vectors(rows: DataFrame, views: tuple[str, ...], *more: str) -> DataFrame:
 
 
 def _fit(rows: DataFrame, view: str, target: str) -> Model:
-    model = LogisticRegression(maxIter=40, regParam=1e-3, standardization=False, featuresCol=view, labelCol=target).fit(rows.select(view, F.col(target).cast("double").alias(target)).coalesce(4))
+    model = LogisticRegression(maxIter=25, regParam=1e-3, standardization=False, featuresCol=view, labelCol=target).fit(rows.select(view, F.col(target).cast("double").alias(target)).coalesce(4))
     return Model(model.coefficients.toArray(), float(model.intercept))
 
 
