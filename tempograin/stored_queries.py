@@ -25,6 +25,8 @@ NEAR, BLOCK = 900, 6 * 3600
 START, END = 1704067200.0, 1735689600.0
 KINDS = {"gauge": event_gauge, "count": event_count, "ratio": event_ratio}
 BATCHES = 3
+#: Rows of a micro-batch, about, and partitions of a stream's state.
+STREAM_ROWS, STATE_PARTITIONS = 1_000_000, 12
 Pair = tuple[Callable[[SparkSession, str], DataFrame], str]
 
 
@@ -131,15 +133,31 @@ def _json(s: SparkSession, d: str) -> DataFrame:
     return json_points(s, path, "gauge").select("t_us", F.concat_ws(",", "tags").alias("tags"), F.col("value").cast("double").alias("value"))
 
 
+def _arrive(points: DataFrame, path: str) -> None:
+    """points as files under path/in of about STREAM_ROWS rows, BATCHES at least, written one after another in order of seq, as a stream takes them by age."""
+    spark, n = points.sparkSession, max(BATCHES, -(-points.count() // STREAM_ROWS))
+    points.limit(0).coalesce(1).write.parquet(f"{path}/in")
+    points.repartitionByRange(n, "seq").withColumn("part", F.spark_partition_id()).write.partitionBy("part").parquet(f"{path}/parts")
+    parts = spark.read.schema("seq bigint, part int").parquet(f"{path}/parts")
+    for row in parts.select("part").distinct().orderBy("part").collect():
+        spark.read.schema(points.schema).parquet(f"{path}/parts/part={row['part']}").coalesce(1).write.mode("append").parquet(f"{path}/in")
+
+
 def _stream(s: SparkSession, d: str) -> DataFrame:
-    """Events as a stream of three files, dealt with state, then merged."""
-    path, top = scratch(s, "stream"), table(s, d, "events").agg(F.max("event_id")).first()[0] or 0
+    """Events as a stream of files, dealt with state, then merged.
+
+    A micro-batch is a file, so what a task holds doesn't grow with the table. A batch's time goes mostly into the files of
+    its state, one for each partition and batch; the few primary tags don't need more than STATE_PARTITIONS.
+    """
+    path = scratch(s, "stream")
     points = event_gauge(table(s, d, "events")).drop("ts").withColumn("primary_tag", primary_tag(F.col("tags"), keys=["event_type"]))
-    for i in range(BATCHES):
-        points.filter((F.col("seq") * BATCHES >= i * (top + 1)) & (F.col("seq") * BATCHES < (i + 1) * (top + 1))).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    read = s.readStream.schema(points.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    dealt(read, "gauge", NEAR * 8 * SECOND, BLOCK * SECOND).writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out").awaitTermination()
-    return _rows(merged(s.read.parquet(f"{path}/out"), "gauge"), "gauge")
+    _arrive(points, path)
+    own = s.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", STATE_PARTITIONS)
+    read = own.readStream.schema(points.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    made = dealt(read, "gauge", NEAR * 8 * SECOND, BLOCK * SECOND)
+    made.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out").awaitTermination()
+    return _rows(merged(s.read.schema(made.schema).parquet(f"{path}/out"), "gauge"), "gauge")
 
 
 def _stream_windows(s: SparkSession, d: str) -> DataFrame:

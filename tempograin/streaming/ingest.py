@@ -27,7 +27,8 @@ def dealt(points: DataFrame, kind: str, datapoint_us: int, block_us: int, idle:
     """primary_tag, tags, t_us, seq, values, block_us, anchor_us, late of a stream of points with primary_tag.
 
     idle: seconds without points after which the state of a primary tag is dropped; its next point then begins a block.
-    A task holds the points of one primary tag in one micro-batch, as they are put in order of arrival.
+    A task holds the points of one primary tag in one micro-batch, as they are put in order of arrival; the source bounds them
+    (maxFilesPerTrigger over files of bounded size).
     """
     columns = ["primary_tag", "tags", "t_us", "seq", *VALUES[kind]]
     schema = f"primary_tag string, tags array<string>, t_us bigint, seq bigint, {TYPES[kind]}, block_us bigint, anchor_us bigint, late boolean"
@@ -45,7 +46,7 @@ def dealt(points: DataFrame, kind: str, datapoint_us: int, block_us: int, idle:
         time = np.array([*(t for _, t in before), *rows["t_us"]], np.int64)
         newest = np.maximum.accumulate(time)
         blocks = block_starts(newest, np.array([0, len(time)]), start, block_us)
-        owner = owners(time, np.unique(names.astype(str), return_inverse=True)[1], np.append(True, blocks[1:] != blocks[:-1]), datapoint_us)
+        owner = owners(time, pd.factorize(names)[0], np.append(True, blocks[1:] != blocks[:-1]), datapoint_us)
         active = {names[o]: int(time[o]) for o in np.unique(owner[(blocks == blocks[-1]) & (owner >= 0)])}
         state.update((int(blocks[-1]), json.dumps(active)))
         if idle is not None:
