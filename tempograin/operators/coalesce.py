@@ -25,6 +25,8 @@ from pyspark.sql.window import Window
 from .points import VALUES
 
 CHUNK_STEPS = 8
+#: Rows that are folded at once, at least.
+FOLD_ROWS = 1 << 16
 #: Arrivals whose running maximum one task computes.
 ARRIVALS = 1 << 20
 _NEVER = -(1 << 62)
@@ -68,6 +70,19 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Ite
         yield out(held)
 
 
+def _many(batches: Iterator[pa.RecordBatch], least: Callable[[], int]) -> Iterator[pa.Table]:
+    """Rows of batches that follow each other, least() or more at a time but for the last ones."""
+    parts: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            parts.append(batch)
+        if parts and sum(x.num_rows for x in parts) >= least():
+            yield pa.Table.from_batches(parts).combine_chunks()
+            parts = []
+    if parts:
+        yield pa.Table.from_batches(parts).combine_chunks()
+
+
 def _numbers(rows: pa.Table, name: str) -> np.ndarray:
     return rows.column(name).to_numpy()
 
@@ -252,7 +267,11 @@ def block_starts(upto: np.ndarray, starts: np.ndarray, start: int | None, step:
 
 
 def _fold_groups(kind: str, near: int, step: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Batch by batch; of a block that goes on in the next batch, the open points wait and arrive first there."""
+    """Some batches at a time; of a block that goes on in the next ones, the open points wait and arrive first there.
+
+    There are at least as many new rows as waiting ones, so these are folded again a bounded number of times however many sets
+    of tags a block has.
+    """
     columns = ["primary_tag", "tags", "tagset", "block_us", "newest", "t_us", "seq", *(n for n, _ in _ARROW[kind])]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,14 +279,12 @@ def _fold_groups(kind: str, near: int, step: int) -> Callable[[Iterator[pa.Recor
         key, start = None, None
         opened = lambda made: pc.and_(made.column("last"), pc.equal(made.column("block_us"), made.column("newest")))
         out = lambda made: made.append_column("opened", opened(made)).drop_columns(["tagset", "newest", "last"]).to_batches()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _many(batches, lambda: max(FOLD_ROWS, held.num_rows if held is not None else 0)):
             first, end = ([batch.column(k)[i].as_py() for k in ("primary_tag", "group")] for i in (0, batch.num_rows - 1))
             starts = np.append(np.flatnonzero(_changes(batch, ("primary_tag", "group"))), batch.num_rows)
             blocks = block_starts(_numbers(batch, "_upto"), starts, start if first == key else None, step)
             key, start = end, int(blocks[-1])
-            rows = pa.Table.from_batches([batch]).append_column("block_us", pa.array(blocks)).filter(pc.invert(batch.column("_seed"))).select(columns)
+            rows = batch.append_column("block_us", pa.array(blocks)).filter(pc.invert(batch.column("_seed"))).select(columns)
             # computed columns and those from Spark differ in whether they may be null
             rows = rows if held is None else pa.concat_tables([held.select(columns), rows.cast(held.select(columns).schema)])
             if not rows.num_rows:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,13 +43,20 @@ def _engine(s: SparkSession, d: str, *kinds: str, near: float = NEAR, keep: floa
     key = (s.sparkContext.applicationId, d, near, keep)
     folder = _folders[key] = scratch(s, "catalog") if keep or key not in _folders else _folders[key]
     engine, events = MetricsEngine(s, folder), table(s, d, "events")
-    for kind in set(kinds) - set(engine.metrics()):
+    if new := sorted(set(kinds) - set(engine.metrics())):
         top = events.agg(F.max("event_id")).first()[0] or 0
-        engine.create_metric(kind, kind, [(near, keep)], block=BLOCK)
-        engine.add_auto_primary_tag(kind, "event_type")
-        for i in range(BATCHES):
-            part = events.filter((F.col("event_id") * BATCHES >= i * (top + 1)) & (F.col("event_id") * BATCHES < (i + 1) * (top + 1)))
-            engine.ingest(kind, kind, KINDS[kind](part))
+        bounds = [-(-i * (top + 1) // BATCHES) for i in range(BATCHES + 1)]
+        for kind in new:
+            engine.create_metric(kind, kind, [(near, keep)], block=BLOCK)
+            engine.add_auto_primary_tag(kind, "event_type")
+
+        def fill(kind: str) -> None:
+            for low, high in zip(bounds, bounds[1:]):  # a range of the column itself reaches the scan
+                engine.ingest(kind, kind, KINDS[kind](events.filter((F.col("event_id") >= low) & (F.col("event_id") < high))))
+
+        # metrics have nothing in common, and the last groups of one batch leave cores idle
+        with ThreadPoolExecutor(len(new)) as pool:
+            list(pool.map(inheritable_thread_target(s)(fill), new))
     return MetricsEngine(s, folder)
 
 
